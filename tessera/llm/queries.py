@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, jaccard, langid, media, secrets, sharding, token_codec, toxicity
+from tessera.llm import bpe, decontam, jaccard, langid, media, secrets, sharding, suffix_dedup, token_codec, toxicity
 from tessera.llm.common import Scratch, table
 
 
@@ -47,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("kept")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op9"))
 
@@ -55,7 +59,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_files, op4_language, op5_media, op6_secrets, op7_toxicity, op9_decontamination, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_files, op4_language, op5_media, op6_secrets, op7_toxicity, op8_suffix_dedup, op9_decontamination, op10_jaccard)}
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS9 = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

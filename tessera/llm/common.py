@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,10 +39,16 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
         df.write.parquet(at)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tessera_path = at
         return out
 
+    def release(self) -> None:
+        """Let go of shuffle files that no frame needs any more: Spark deletes them once the driver's garbage is gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a scratch table that no later read needs."""
         jvm = self.spark.sparkContext._jvm

@@ -8,16 +8,18 @@ text); strings are judged on the input.
    form a stretch; stretches of equal bytes repeat each other's windows, and all but the first of each go at once.
    Each task settles the copies within its own rows and passes on one stretch per distinct content.
 2. Stretches meet by gram, one row per gram group piece.  The first of each distinct stretch stays; if a gram has several
-   distinct stretches, some of their windows may still be equal, and their bytes are fetched.
-3. Suffixes: the windows of those stretches are suffixes of their bytes.  Each goes to the part of its leading bytes and
-   is ordered by deep-shallow sorting: multikey quicksort, eight bytes a key, down to SHALLOW bytes, then a blind trie
+   distinct stretches, some of their windows may still be equal.  A window with HALF bytes or more before its gram can
+   only equal one with the same HALF bytes there, any other only one with the same HALF bytes behind the gram; hashes
+   of both sides tell which windows are left, and only their bytes are fetched.
+3. Suffixes: the windows of those stretches are suffixes of their bytes.  Stretches travel by gram, and are taken apart
+   where they meet; of a gram with more than HOT stretches each window travels by its own bytes instead, and of equal
+   ones in a task only the earliest.  Suffixes are ordered by deep-shallow sorting: multikey quicksort, eight bytes a key, down to SHALLOW bytes, then a blind trie
    per group that shares them all.  Neighbours with a common prefix of SPAN bytes are equal windows, and all but the
    earliest are covered.
 4. Covered runs of a document are joined and cut from its text.
 
 Between steps are written tables.  A gram or a passage that a third of the rows hold gives one row per task and
-distinct stretch; suffixes are dealt by their own bytes, and equal ones are reduced to their earliest in each task
-before they travel (the others are covered there and then).
+distinct stretch, and no part has to hold the windows of a gram that many texts share.
 
 Edge cases: null and empty texts and texts under SPAN bytes lose nothing; rows with equal keys are taken in the order
 of their text, and each gets its own result; very long texts are processed whole, in slices that overlap.
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,11 @@ from tessera.llm.common import Scratch
 __all__ = ["anchors", "deep_shallow", "dedup", "equal_runs", "merge"]
 
 SPAN, SEED, SHALLOW = 100, 24, 32
+HALF = (SPAN - SEED) // 2
 #: Anchors that a task holds before it passes them on.
 HELD = 600_000
+#: Stretches of a gram that one part may hold.
+HOT = 20_000
 #: Pieces that gram groups and suffixes are dealt to, per shuffle partition.
 PIECES = 4
 
@@ -66,7 +72,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _slice_anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """gram, content, first, last of each stretch of a slice: windows [first, last] have one anchor."""
+    """gram, content, first, last, place, before, behind of each stretch of a slice: windows [first, last] have one anchor."""
     n, width = len(raw), SPAN - SEED + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _UP[:n], out=total[1:])
@@ -87,21 +93,28 @@ def _slice_anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     content = (total[end] - total[first]) * _DOWN[first]
     # The stretch's bytes, its length and the anchor's place in it.
     content = _mix(content + _OTHER * ((end - first).astype(np.uint64) << np.uint64(20) | (place - first).astype(np.uint64)))
-    return gram[place], content, first, last, place
+    before = _side(total, np.maximum(place - HALF, 0))
+    behind = _side(total, np.minimum(place + SEED, n - HALF))
+    return gram[place], content, first, last, place, before, behind
+
+
+def _side(total: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of HALF bytes; a side that the text is too short for has no window that asks for it."""
+    return (_mix((total[start + HALF] - total[start]) * _DOWN[start]) >> np.uint64(48)).astype(np.uint16)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...]:
-    """gram, content, first, last, place over a whole text; slices share SPAN - 1 bytes, so no window is lost or doubled.
+    """What _slice_anchors gives, over a whole text; slices share SPAN - 1 bytes, so no window is lost or doubled.
 
     A stretch that a slice's end cuts is two; both ends still hold all their windows.
     """
     raw = np.frombuffer(text, np.uint8)
     if len(raw) < SPAN:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16))
     parts = []
     for s in range(0, len(raw) - SPAN + 1, SLICE):
-        gram, content, first, last, place = _slice_anchors(raw[s : s + SLICE + SPAN - 1])
-        parts.append((gram, content, first + s, last + s, place + s))
+        gram, content, first, last, place, *sides = _slice_anchors(raw[s : s + SLICE + SPAN - 1])
+        parts.append((gram, content, first + s, last + s, place + s, *sides))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -202,11 +215,40 @@ def equal_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-_LINE = np.dtype([("gram", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<i4")])
+_LINE = np.dtype([("gram", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<i4"), ("before", "<u2"), ("behind", "<u2")])
 _ROUTED = pa.schema([("piece", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 _SPANS = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Byte by byte, lowest first: the high bytes of small numbers become runs of zeros, which Spark's codec packs."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _from_planes(raw: memoryview, kind: str) -> np.ndarray:
+    a = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(a.T).view(kind).ravel()
+
+
+def _to_payload(lines: np.ndarray) -> bytes:
+    """Columns of lines in the order of documents; documents as differences, places from the first window."""
+    lines = lines[np.lexsort((lines["first"], lines["doc"]))]
+    doc, first = np.diff(lines["doc"], prepend=np.int64(0)), np.ascontiguousarray(lines["first"])
+    short = [(lines[c] - first).astype(np.uint8) for c in ("last", "place")]
+    return b"".join([_planes(doc), _planes(first), *(x.tobytes() for x in short), *(np.ascontiguousarray(lines[c]).tobytes() for c in ("gram", "content", "before", "behind"))])
+
+
+def _from_payload(raw: bytes) -> np.ndarray:
+    n = len(raw) // 34
+    at, out = memoryview(raw), np.empty(n, _LINE)
+    out["doc"], out["first"] = np.cumsum(_from_planes(at[: 8 * n], "<i8")), _from_planes(at[8 * n : 12 * n], "<i4")
+    out["last"] = out["first"] + np.frombuffer(at[12 * n : 13 * n], np.uint8)
+    out["place"] = out["first"] + np.frombuffer(at[13 * n : 14 * n], np.uint8)
+    for c, a, z in (("gram", 14, 22), ("content", 22, 30), ("before", 30, 32), ("behind", 32, 34)):
+        out[c] = np.frombuffer(at[a * n : z * n], _LINE[c])
+    return out
+
+
 def _repeats(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines by gram, content, document and place; and whether each repeats the one before."""
     lines = lines[np.lexsort((lines["first"], lines["doc"], lines["content"], lines["gram"]))]
@@ -244,11 +286,12 @@ def _route_anchors(pieces: int):
 
         for b in batches:
             for doc, t in zip(b.column(0), b.column(1), strict=True):
-                gram, content, first, last, place = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                gram, content, first, last, place, before, behind = anchors((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 if len(gram):
                     lines = np.empty(len(gram), _LINE)
                     lines["gram"], lines["content"], lines["doc"] = gram, content, doc.as_py()
                     lines["first"], lines["last"], lines["place"] = first, last, place
+                    lines["before"], lines["behind"] = before, behind
                     held.append(lines)
                     size += len(lines)
                     if size >= HELD:
@@ -265,7 +308,17 @@ def _dealt(lines: np.ndarray, piece: np.ndarray, kind: int) -> list[tuple[int, i
     order = np.argsort(piece, kind="stable")
     piece, lines = piece[order].astype(np.int64), lines[order]
     cut = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else np.empty(0, np.int64)
-    return [(int(piece[a]), kind, lines[a:z].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(piece)), strict=True)]
+    packed = _to_payload if kind == 0 else (lambda x: x.tobytes())
+    return [(int(piece[a]), kind, packed(lines[a:z])) for a, z in zip(cut, np.append(cut[1:], len(piece)), strict=True)]
+
+
+def _shared(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another line has the same gram and side."""
+    order = np.lexsort((side, gram))
+    same = (gram[order][1:] == gram[order][:-1]) & (side[order][1:] == side[order][:-1])
+    out = np.zeros(len(gram), bool)
+    out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(gram) else False
+    return out
 
 
 _FOUND = "kind tinyint, doc long, first int, last int, place int, gram long"
@@ -279,18 +332,22 @@ def _found(kind: int, doc, first, last, place=None, gram=None) -> pa.RecordBatch
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1: spans that go; kind 0: distinct stretches of grams that have several."""
+    """Rows of kind 1: spans that go; kind 0: windows to compare, of distinct stretches of grams that have several; kind 2: those of hot grams."""
     now, held, spans = None, [], []
 
     def close():
-        lines, again = _repeats(np.concatenate([np.frombuffer(x, _LINE) for x in held]))
+        lines, again = _repeats(np.concatenate([_from_payload(x) for x in held]))
         gone = _covered(lines[again])
         yield _found(1, gone["doc"], gone["start"], gone["end"])
         lines = lines[~again]
-        same = lines["gram"][1:] == lines["gram"][:-1]
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(lines) else np.zeros(0, bool)
-        some = lines[several]
-        yield _found(0, some["doc"], some["first"], some["last"], some["place"], some["gram"].view(np.int64) if len(some) else None)
+        left, right = (_shared(lines["gram"], lines[side]) for side in ("before", "behind"))
+        first = np.where(left, lines["first"], np.maximum(lines["first"], lines["place"] - HALF + 1))
+        last = np.where(right, lines["last"], np.minimum(lines["last"], lines["place"] - HALF))
+        some = (left | right) & (first <= last)
+        _, group, size = np.unique(lines["gram"], return_inverse=True, return_counts=True)
+        hot = size[group] > HOT if len(group) else some
+        for kind, one in ((0, some & ~hot), (2, some & hot)):
+            yield _found(kind, lines["doc"][one], first[one], last[one], lines["place"][one], lines["gram"][one].view(np.int64))
 
     for b in batches:
         for piece, kind, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -311,50 +368,35 @@ _SUFFIX = pa.schema([("piece", pa.int32()), ("doc", pa.int64()), ("start", pa.in
 
 
 def _suffixes(pieces: int):
-    """Suffix rows of asked stretches, one per distinct window and group of rows (kind 0), and spans that go (kind 1)."""
+    """Rows (piece, doc, start, bytes): every SPAN bytes of a row's bytes are a window.  Piece -1: a window that goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        first: dict[bytes, tuple[int, int]] = {}  # of the hot windows so far, begun anew when it is large
+        for b in batches:
+            piece, docs, starts, found = [], [], [], []
 
-        def close():
-            rows, grams, docs, starts = (np.concatenate(x) for x in zip(*held, strict=True))
-            # Equal windows share gram and offset, so the quick order is enough to find them; bytes decide.
-            whole = rows.view(f"V{SPAN}").ravel()
-            first: dict[tuple[int, bytes], int] = {}
-            keep, gone = [], []
-            for i in np.lexsort((starts, docs)).tolist():
-                key = whole[i].tobytes()
-                if key in first:
-                    gone.append(i)
-                else:
-                    first[key] = i
-                    keep.append(i)
-            part = (_mix(grams[keep]) % np.uint64(pieces)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(docs[keep]), pa.array(starts[keep]), pa.array([rows[i].tobytes() for i in keep], pa.binary())], schema=_SUFFIX
-            )
-            if gone:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(gone), -1, np.int32)), pa.array(docs[gone]), pa.array(starts[gone]), pa.array([None] * len(gone), pa.binary())], schema=_SUFFIX
-                )
+            def add(to, doc, start, raw):
+                piece.append(to)
+                docs.append(doc)
+                starts.append(start)
+                found.append(raw)
 
-        for b in batches:
             for doc, text, asked in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                views = np.lib.stride_tricks.sliding_window_view(raw, SPAN)
+                raw, doc = (text.as_py() or "").encode("utf-8", "surrogatepass"), doc.as_py()
                 for x in asked.as_py():
-                    at = np.arange(x["first"], x["last"] + 1)
-                    # The suffix's part: its gram and the gram's place in it, which equal windows share.
-                    key = np.full(len(at), x["gram"], np.int64).view(np.uint64) + (x["place"] - at).astype(np.uint64) * _OTHER
-                    key += np.ascontiguousarray(views[at][:, [0, 1, 2, 3, -4, -3, -2, -1]]).view("<u8").ravel()
-                    held.append((np.ascontiguousarray(views[at]), key, np.full(len(at), doc.as_py()), at.astype(np.int32)))
-                    size += len(at)
-                if size >= 100_000:
-                    yield from close()
-                    held, size = [], 0
-        if held:
-            yield from close()
+                    if x["kind"] == 0:
+                        add((x["gram"] & ((1 << 64) - 1)) % pieces, doc, x["first"], raw[x["first"] : x["last"] + SPAN])
+                        continue
+                    for start in range(x["first"], x["last"] + 1):
+                        window = raw[start : start + SPAN]
+                        if (doc, start) > first.setdefault(window, (doc, start)):
+                            add(-1, doc, start, None)
+                        else:
+                            first[window] = (doc, start)
+                            add(xxhash.xxh3_64_intdigest(window) % pieces, doc, start, window)
+            if len(first) > 400_000:
+                first.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary())], schema=_SUFFIX)
 
     return run
 
@@ -384,8 +426,13 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from close()
                 held = []
             now = piece[a]
-            rows = np.frombuffer(b"".join(b.column(3).slice(a, z - a).to_pylist()), np.uint8).reshape(-1, SPAN)
-            held.append((b.column(1).to_numpy()[a:z], b.column(2).to_numpy()[a:z], rows))
+            raw = b.column(3).slice(a, z - a).to_pylist()
+            size = np.array([len(x) for x in raw]) - SPAN + 1
+            base = np.cumsum([0, *map(len, raw)])[:-1]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = np.repeat(base, size) + inner
+            rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(raw), np.uint8), SPAN)[at]
+            held.append((np.repeat(b.column(1).to_numpy()[a:z], size), np.repeat(b.column(2).to_numpy()[a:z], size) + inner.astype(np.int32), rows))
     if held:
         yield from close()
 
@@ -415,14 +462,19 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     pieces = PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    routed = texts.mapInArrow(_route_anchors(pieces), "piece int, kind tinyint, payload binary")
-    met = scratch.save(routed.repartition("piece").sortWithinPartitions("piece").mapInArrow(_meet, _FOUND), "met")
-    asked = met.where("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("first", "last", "place", "gram")).alias("asked"))
-    rows = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_suffixes(pieces), "piece int, doc long, start int, suffix binary")
-    # Settled rows (piece -1) travel by their document.
-    dealt = rows.withColumn("to", F.when(F.col("piece") < 0, F.col("doc")).otherwise(F.col("piece").cast("long")))
-    late = dealt.repartition("to").sortWithinPartitions("piece").select("piece", "doc", "start", "suffix").mapInArrow(_order, _FOUND)
-    late = scratch.save(late, "late")
+    def first() -> DataFrame:
+        routed = texts.mapInArrow(_route_anchors(pieces), "piece int, kind tinyint, payload binary")
+        return routed.repartition("piece").sortWithinPartitions("piece").mapInArrow(_meet, _FOUND)
+
+    def second() -> DataFrame:
+        asked = met.where("kind <> 1").groupBy("doc").agg(F.collect_list(F.struct("kind", "first", "last", "place", "gram")).alias("asked"))
+        rows = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_suffixes(pieces), "piece int, doc long, start int, suffix binary")
+        # Settled rows (piece -1) travel by their document.
+        dealt = rows.withColumn("to", F.when(F.col("piece") < 0, F.col("doc")).otherwise(F.col("piece").cast("long")))
+        return dealt.repartition("to").sortWithinPartitions("piece").select("piece", "doc", "start", "suffix").mapInArrow(_order, _FOUND)
+
+    met = scratch.save(first(), "met")
+    late = scratch.save(second(), "late")
     gone = met.where("kind = 1").union(late).select("doc", "first", "last")
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     out = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

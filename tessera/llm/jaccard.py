@@ -2,19 +2,22 @@
 
 1. Equal sets are one class; its smallest key represents it.
 2. Two sets at the threshold share one of their first tokens (a prefix of n - ceil(t * n) + 1) in any order common to
-   all.  The order puts frequent shingles last (a bounded list of at most HEAVY, counted over all documents), so that a
-   passage which many documents share doesn't bring them together.
-3. Each prefix token leads to the smallest key that has it.  All sets led to one key are a block; every pair that
-   shares a prefix token meets in the block of that token's leader, so joining within blocks loses no pair.
+   all.  A token is a shingle's hash under its commonness, the sum of the logarithms of its words' counts over all
+   documents (a table of at most COMMON words), so that shingles of rare words come first, and neither chance nor a
+   passage which many documents share brings documents together.
+3. Each prefix token leads to the smallest key that has it.  All sets led to one key, and of neighbouring sizes (classes
+   in the ratio of the threshold, each set in its own and the next), are a block; every pair that shares a prefix token
+   and may reach the threshold meets in one, so joining within blocks loses no pair.  Blocks first see bitmaps of two
+   bits a token only: a set that no other of its block can overlap enough leaves it.
 4. A block is joined by a signature tree: nodes over sets in order of size hold OR- and AND-combined bitmaps and
    the range of sizes.  A dual traversal drops node pairs whose largest possible overlap is too small, and pairs whose
    sets are all connected already; what is left is compared exactly.  Only links that connect something are
    returned, so a block of many near copies gives as many links as it has members.
-5. A block of more than BLOCK sets is dealt out in parts that each hold its leader.  Sets that did not get connected to
-   the leader there are compared with all parts in a second step; connected ones need no more links.
+5. A block of more than BLOCK sets is dealt out in parts that each hold its first set.  Sets that did not get connected
+   to it there are compared with all parts in a second step; connected ones need no more links.
 6. Components: stars are merged until nothing changes, with written tables between rounds.
 
-Broadcast: the frequent shingles (bounded), and the blocks of sets only if there are at most SMALL such sets; beyond
+Broadcast: the common words (bounded), and the blocks of sets only if there are at most SMALL such sets; beyond
 that the documents are joined by a shuffle.
 
 Words are what white space [\\x20\\x09-\\x0D] parts, after A-Z are lowered.  Edge cases: texts without words and nulls
@@ -24,6 +27,7 @@ texts are one class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +39,14 @@ from tessera.llm.common import Scratch
 
 __all__ = ["Forest", "components", "connected", "join_block", "needed", "shingles"]
 
-HEAVY, HEAVY_LEAST = 1 << 17, 30
+COMMON = 1 << 18
 BLOCK, SMALL = 3000, 1_000_000
 WORDS64 = 32  # 64-bit words of a bitmap
 FANOUT = 8
-#: Shingles that a task counts at a time, and the count from which it reports one.
-HELD, REPORT = 2_000_000, 3
+#: Words that a task counts at a time, and the count from which it reports one.
+HELD, REPORT = 2_000_000, 4
+#: A token's commonness takes its top bits.
+SCALE, HASH_BITS = 3.0, 56
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,24 +81,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, ascending."""
+class Table:
+    """Scaled logarithms of the counts of common words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.logs = words[order], np.round(np.log2(counts[order].astype(float)) * SCALE).astype(np.int64)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(words & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words), np.int64)
+        maybe = np.flatnonzero(self.bits[(words & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if len(maybe):
+            asked = words[maybe]
+            at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
+            out[maybe] = np.where(self.words[at] == asked, self.logs[at], 0)
+        return out
+
+
+def word_hashes(text: str | None) -> np.ndarray:
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
     space = np.concatenate([[True], _SPACE[raw], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64)
     up, down = _POWERS.to(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    word = _mix((total[end] - total[start]) * down[start])
+    return _mix((total[end] - total[start]) * down[start])
+
+
+def shingles(text: str | None, words: int, table: Table | None = None) -> np.ndarray:
+    """Tokens of the distinct shingles of a text, ascending: rare ones first."""
+    word = word_hashes(text)
+    if not len(word):
+        return word
     k = min(words, len(word))
-    h = np.full(len(word) - k + 1, k, np.uint64)
+    n = len(word) - k + 1
+    h = np.full(n, k, np.uint64)
     for j in range(k):
-        h += word[j : len(word) - k + 1 + j] * _PLACE[j]
-    return np.unique(_mix(h))
+        h += word[j : n + j] * _PLACE[j]
+    h = _mix(h) >> np.uint64(64 - HASH_BITS)
+    if table is not None:
+        logs = np.concatenate([[0], np.cumsum(table.of(word))])
+        h |= np.minimum(logs[k:] - logs[:-k], 127).astype(np.uint64) << np.uint64(HASH_BITS)
+    return np.unique(h)
 
 
 def needed(n: int, percent: int) -> int:
@@ -100,69 +132,87 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-class Order:
-    """Tokens by rank: frequent ones after all others, then by count; else by hash."""
-
-    def __init__(self, heavy: np.ndarray):
-        self.hash = np.sort(heavy)
-        self.place = np.argsort(heavy)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(heavy & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def prefix(self, tokens: np.ndarray, size: int) -> np.ndarray:
-        maybe = np.flatnonzero(self.bits[(tokens & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.hash, tokens[maybe])
-        at[at == len(self.hash)] = 0
-        sure = self.hash[at] == tokens[maybe] if len(self.hash) else np.zeros(0, bool)
-        late = maybe[sure]
-        light = np.delete(tokens, late)  # ascending hashes are this order
-        if len(light) >= size:
-            return light[:size]
-        return np.concatenate([light, tokens[late[np.argsort(self.place[at[sure]])]]])[:size]
-
-
-def _frequent(docs: DataFrame, words: int, text: str) -> np.ndarray:
-    """Shingles in many documents, rarest first."""
+def _common(docs: DataFrame, text: str) -> Table:
+    """The words with the highest counts; the lowest binary order of counts that fits COMMON begins the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def close():
-            token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            word, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
             keep = n >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
 
         for b in batches:
             for t in b.column(0):
-                held.append(shingles(t.as_py(), words))
+                held.append(word_hashes(t.as_py()))
                 size += len(held[-1])
                 if size >= HELD:
                     yield close()
                     held, size = [], 0
         yield close()
 
-    counts = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST)
-    found = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    return np.array(found["token"].to_pylist(), np.int64).view(np.uint64)[::-1].copy()
-
-
-def _sets(docs: DataFrame, heavy: np.ndarray, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """key, n, sig, prefix of each row; sig is the same for equal sets only."""
+    scratch = Scratch(docs.sparkSession, "words")
+    counts = scratch.save(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    per = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()}
+    least, total = 64, 0
+    for size in sorted(per, reverse=True):
+        total += per[size]
+        if total > COMMON:
+            break
+        least = size
+    found = counts.where(F.floor(F.log2("n")) >= least).toArrow()
+    scratch.drop(counts)
+    return Table(np.array(found["word"].to_pylist(), np.int64).view(np.uint64), np.array(found["n"].to_pylist(), np.int64))
+
+
+def _sets(docs: DataFrame, table: Table, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """key, n, sig, prefix, bits of each row; sig is the same for equal sets only."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(heavy)
         for b in batches:
-            n, sig, first = [], [], []
+            n, sig, first, bits = [], [], [], []
             for t in b.column(1):
-                s = shingles(t.as_py(), words)
+                s = shingles(t.as_py(), words, table)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                first.append(order.prefix(s, len(s) - needed(len(s), percent) + 1).view(np.int64) if len(s) else np.empty(0, np.int64))
+                bits.append(bitmap(s).tobytes() if len(s) else None)
+                first.append(s[: len(s) - needed(len(s), percent) + 1].view(np.int64) if len(s) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], [key, "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bits, pa.binary())], [key, "n", "sig", "prefix", "bits"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n long, sig binary, prefix array<long>")
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n long, sig binary, prefix array<long>, bits binary")
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Two bits a token, to a power of two; a larger bitmap's halves joined are the smaller one's."""
+    words = max(1, 1 << (2 * len(tokens) - 1).bit_length() >> 6)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (tokens >> np.uint64(6) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
+    return out
+
+
+def live(sizes: list[int], bits: list[np.ndarray], percent: int) -> list[bool]:
+    """Which sets some other one can overlap enough, as far as sizes and bitmaps tell."""
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    n = np.array([sizes[i] for i in order])
+    out = np.zeros(len(order), bool)
+    folded: dict[int, np.ndarray] = {}
+    for a, i in enumerate(order):
+        z = int(np.searchsorted(n, 100 * n[a] // percent, side="right"))
+        if z <= a + 1 or out[a:z].all():
+            continue
+        words = len(bits[i])
+        if words not in folded:  # of the sets from here on, none has fewer words
+            folded = {words: np.stack([np.bitwise_or.reduce(bits[j].reshape(-1, words), axis=0) for j in order[a:]])}
+            base = a
+        mine, others = folded[words][a - base], folded[words][a + 1 - base : z - base]
+        over = np.minimum(n[a] - np.bitwise_count(mine & ~others).sum(1, dtype=np.int64), n[a + 1 : z] - np.bitwise_count(others & ~mine).sum(1, dtype=np.int64))
+        fits = over * (100 + percent) >= percent * (n[a] + n[a + 1 : z])
+        out[a + 1 : z] |= fits
+        out[a] |= bool(fits.any())
+    return [bool(x) for _, x in sorted(zip(order, out, strict=True))]
 
 
 class Forest:
@@ -270,7 +320,7 @@ def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the rows (block, part, id, known, tokens) of each block's part."""
+    """Links (a, b) of the rows (block, class, part, id, known, tokens) of each block's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, known = None, [], [], []
@@ -280,15 +330,16 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             for p, i in enumerate(ids):
                 one.setdefault(i, p)
             at = sorted(one.values())
-            links = join_block([sets[p] for p in at], percent, next((q for q, p in enumerate(at) if ids[p] == now[0]), 0), [known[p] for p in at])
+            first = min(range(len(at)), key=lambda q: ids[at[q]])
+            links = join_block([sets[p] for p in at], percent, first, [known[p] for p in at])
             return [(ids[at[i]], ids[at[j]]) for i, j in links]
 
         for b in batches:
             found = []
-            for block, part, i, group, raw in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if (block, part) != now:
+            for *place, i, group, raw in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if place != now:
                     found += close() if len(ids) > 1 else []
-                    now, ids, sets, known = (block, part), [], [], []
+                    now, ids, sets, known = place, [], [], []
                 ids.append(i)
                 known.append(group)
                 sets.append(np.frombuffer(raw, np.uint64))
@@ -297,25 +348,58 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             found = close()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
-    return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "a long, b long")
+    keys = ("block", "class", "part")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
 
+def _live(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (block, class, part, parts, id) whose set can still be linked; blocks in several parts stay whole."""
 
-def _with_tokens(docs: DataFrame, members: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """members (id, block, part, known) with the tokens of their documents."""
-    per = members.groupBy("id").agg(F.collect_list(F.struct("block", "part", "known")).alias("to"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            if held[0][3] > 1:
+                return held
+            keep = live([x[5] for x in held], [np.frombuffer(x[6], np.uint64) for x in held], percent)
+            return [x for x, k in zip(held, keep, strict=True) if k]
+
+        def batch(found):
+            columns = list(zip(*found, strict=True))[:5] if found else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "class", "part", "parts", "id"])
+
+        for b in batches:
+            found = []
+            for row in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                if row[:3] != now:
+                    found += close() if held else []
+                    now, held = row[:3], []
+                held.append(row)
+            yield batch(found)
+        if held:
+            yield batch(close())
+
+    keys = ("block", "class", "part")
+    return rows.select(*keys, "parts", "id", "n", "bits").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "block long, class long, part int, parts int, id long")
+
+
+def _with_tokens(docs: DataFrame, members: DataFrame, table: Table, words: int, key: str, text: str) -> DataFrame:
+    """members (id, block, class, part, known) with the tokens of their documents."""
+    per = members.groupBy("id").agg(F.collect_list(F.struct("block", "class", "part", "known")).alias("to"))
     small = per.count() <= SMALL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t, to in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                raw, to = shingles(t.as_py(), words).tobytes(), to.as_py()
+                raw, to = shingles(t.as_py(), words, table).tobytes(), to.as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["block"] for x in to]), pa.array([x["part"] for x in to], pa.int32()), pa.array([i.as_py()] * len(to)), pa.array([x["known"] for x in to]), pa.array([raw] * len(to), pa.binary())],
-                    ["block", "part", "id", "known", "tokens"],
+                    [pa.array([x["block"] for x in to]), pa.array([x["class"] for x in to]), pa.array([x["part"] for x in to], pa.int32()), pa.array([i.as_py()] * len(to)), pa.array([x["known"] for x in to]), pa.array([raw] * len(to), pa.binary())],
+                    ["block", "class", "part", "id", "known", "tokens"],
                 )
 
     joined = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(per) if small else per, "id").select("id", "text", "to")
-    return joined.mapInArrow(run, "block long, part int, id long, known long, tokens binary")
+    return joined.mapInArrow(run, "block long, class long, part int, id long, known long, tokens binary")
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -341,29 +425,31 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row; keys are whole numbers."""
-    heavy = _frequent(docs, words, text)
-    sets = scratch.save(_sets(docs, heavy, words, percent, key, text), "sets")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min(F.col(key).cast("long")).alias("id"), F.first("prefix").alias("prefix"))
+    common = _common(docs, text)
+    sets = scratch.save(_sets(docs, common, words, percent, key, text), "sets")
+    classes = sets.where("n > 0").groupBy("sig").agg(F.min(F.col(key).cast("long")).alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = scratch.save(classes, "classes")
-    postings = classes.select("id", F.explode("prefix").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("id").alias("block"), F.count("*").alias("n")).where("n > 1").select("token", "block")
-    members = scratch.save(postings.join(leaders, "token").select("block", "id").distinct(), "members")
-    sizes = members.groupBy("block").count().where("count > 1").select("block", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    # The leader is in every part of its block.
-    dealt = members.join(sizes, "block").select(
-        "block", "id", "parts", F.explode(F.when(F.col("id") == F.col("block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "parts").cast("int")))).alias("part")
-    )
-    dealt = scratch.save(dealt, "dealt")
-    links = scratch.save(_joined(_with_tokens(docs, dealt.withColumn("known", F.col("id")), words, key, text), percent), "links")
+    postings = classes.select("id", "n", F.explode("prefix").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min("id").alias("block"), F.count("*").alias("c")).where("c > 1").select("token", "block")
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n")
+    led = postings.join(leaders, "token").select("block", "id", "n").distinct()
+    members = scratch.save(led.select("block", "id", F.explode(F.array(size, size + 1)).alias("class")), "members")
+    blocks = members.groupBy("block", "class").agg(F.count("*").alias("count"), F.min("id").alias("first")).where("count > 1")
+    blocks = blocks.select("block", "class", "first", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    # The first set of a block is in every part of it.
+    every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = members.join(blocks, ["block", "class"]).select("block", "class", "id", "parts", F.explode(F.when(F.col("id") == F.col("first"), every).otherwise(one)).alias("part"))
+    dealt = scratch.save(_live(dealt.join(classes.select("id", "n", "bits"), "id"), percent), "dealt")
+    links = scratch.save(_joined(_with_tokens(docs, dealt.withColumn("known", F.col("id")), common, words, key, text), percent), "links")
     roots = scratch.save(connected(links, scratch), "roots")
     large = scratch.save(dealt.where("parts > 1"), "large")
     if large.count():
-        named = large.join(roots, "id", "left").select("block", "id", "parts", "part", F.coalesce("root", "id").alias("known"))
-        lead = named.where("id = block").select("block", F.col("known").alias("lead")).distinct()
-        stray = named.join(lead, "block").where("known <> lead").select("block", "id", "known", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        named = large.join(roots, "id", "left").select("block", "class", "id", "parts", "part", F.coalesce("root", "id").alias("known"))
+        lead = named.groupBy("block", "class").agg(F.min_by("known", "id").alias("lead"))
+        stray = named.join(lead, ["block", "class"]).where("known <> lead").select("block", "class", "id", "known", F.explode(every).alias("part"))
         if stray.count():
-            again = named.select("block", "id", "known", "part").union(stray.select("block", "id", "known", "part")).distinct()
-            more = _joined(_with_tokens(docs, again, words, key, text), percent)
+            again = named.select("block", "class", "id", "known", "part").union(stray.select("block", "class", "id", "known", "part")).distinct()
+            more = _joined(_with_tokens(docs, again, common, words, key, text), percent)
             links = scratch.save(links.union(more), "links-again")
             roots = scratch.save(connected(links, scratch), "roots-again")
     named = classes.select("sig", "id").join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component_id"))

@@ -2,6 +2,432 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import fuzzy
+from tessera.functions import text as T
+from tessera.operators import decide, evaluate, features, model, retrieval, sampling, validate
+from tessera.plans import views as V
+from tessera.sources import linkage
+
+FLAGSHIP = "decide_margin_cap"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
+        return f
+
+    return add
+
+
+def _sorted(x) -> F.Column:
+    return F.array_join(F.array_sort(F.array_distinct(x)), ",")
+
+
+def _list(x: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({x})), ',')"
+
+
+# Text functions ---------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({V.normalize('text')}) AS digest FROM documents")
+def normalize_text(spark, d):
+    return V.documents(spark, d).select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(f"WITH {V.ENTITIES} SELECT entity_id, {V.legal(V.normalize('name'))} AS clean_name FROM ent")
+def legal_suffix_strip(spark, d):
+    return V.entities(spark, d).select("entity_id", T.clean_name(F.col("business_name")).alias("clean_name"))
+
+
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {V.squeeze(f'''regexp_replace({V.expand(V.fold('address'))}, '[^a-z0-9\\s]', ' ', 'g')''')} AS clean FROM adr")
+def address_expand(spark, d):
+    return V.addresses(spark, d).select("o_orderkey", T.clean_address(F.col("address")).alias("clean"))
+
+
+@query(
+    f"""SELECT page_id, trim(regexp_replace(lower(string_split(regexp_replace(split_part(split_part(regexp_replace(u, '(?i)^(?:https?://)?(?:www\\d*\\.)?', ''), '/', 1), '?', 1), '(?i)\\.(?:{T.TLD})$', ''), '.')[-1]), '[^a-z0-9-]', '', 'g'), '-') AS stem
+FROM (SELECT page_id, regexp_extract(trim(url), '{T.URL}', 1) AS u FROM pages)"""
+)
+def domain_stem(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.domain_stem(F.col("url")).alias("stem"))
+
+
+@query(
+    f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, clean_name, md5(clean_addr) AS addr, md5(x) AS joint, {V.MISSING} AS is_addr_missing, strlen(name) <> length(name) AS has_non_ascii FROM pre"
+)
+def preprocess_entities(spark, d):
+    p = T.preprocess(V.entities(spark, d))
+    return p.select("entity_id", "clean_name", F.md5(F.col("clean_addr").cast("binary")).alias("addr"), F.md5(F.col("clean_joint").cast("binary")).alias("joint"), "is_addr_missing", "has_non_ascii")
+
+
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(r'''regexp_extract_all(address, '\b[0-9]+\b')''')} AS numbers, {_list(r'''regexp_extract_all(address, '\b[0-9]{5,6}\b')''')} AS pins FROM adr")
+def numeric_and_pin_tokens(spark, d):
+    a = F.col("address")
+    return V.addresses(spark, d).select("o_orderkey", _sorted(T.numeric_tokens(a)).alias("numbers"), _sorted(T.pin_tokens(a)).alias("pins"))
+
+
+def _valued(pattern: str, digits: bool) -> str:
+    tidy = f"list_transform(regexp_extract_all(address, '{pattern}', 1), v -> trim(lower(v), '.-#/ '))"
+    found = f"list_filter({tidy}, v -> {'regexp_matches(v, chr(91) || $$0-9$$ || chr(93))' if digits else 'length(v) > 0'})"
+    return f"list_concat({found}, flatten(list_transform({found}, v -> regexp_extract_all(v, '[0-9]+'))))"
+
+
+_LEAD = f"list_transform(regexp_extract_all(address, '{T.LEADING}', 1), v -> lower(v))"
+
+
+@query(
+    f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(f'list_concat({_valued(T.PREMISE, True)}, {_valued(T.NUMBERED, False)}, {_LEAD}, list_transform({_LEAD}, v -> coalesce(nullif(ltrim(v, $$0$$), $$$$), $$0$$)), {_valued(T.COMPOUND, False)})')} AS premises FROM adr"
+)
+def premise_tokens(spark, d):
+    return V.addresses(spark, d).select("o_orderkey", _sorted(T.premise_tokens(F.col("address"))).alias("premises"))
+
+
+@query(
+    f"""WITH {V.ADDRESSES} SELECT o_orderkey, coalesce(list_filter(regexp_extract_all(upper(address), '\\b[A-Za-z][A-Za-z]\\b'), t -> list_contains({T.STATES}, t))[1], '') AS state,
+CAST(regexp_extract(address, '{T.PRIMARY}', 1) AS BIGINT) AS door, coalesce(nullif(regexp_extract(address, '\\b([0-9]{{6}})\\b', 1), ''), nullif(regexp_extract(address, '\\b([0-9]{{5}})(?:-[0-9]{{4}})?\\b', 1), '')) AS code FROM adr"""
+)
+def state_door_code(spark, d):
+    a = F.col("address")
+    return V.addresses(spark, d).select("o_orderkey", T.state_token(a).alias("state"), T.primary_number(a).cast("long").alias("door"), T.pincode(a).alias("code"))
+
+
+_TOKENS = f"list_filter(list_distinct(string_split(clean_name, ' ')), t -> length(t) > 2 AND NOT list_contains({T.STOP_FORMS}, t))"
+
+
+@query(f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM pre")
+def name_tokens(spark, d):
+    return V.entities(spark, d).select("entity_id", F.array_join(F.array_sort(T.name_tokens(F.col("business_name"))), " ").alias("tokens"))
+
+
+# Sources, sinks, relational verbs ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.ENTITIES}, {V.TRUTH} SELECT * FROM tru")
+def truth_edges(spark, d):
+    return V.truth(spark, d)
+
+
+@query(f"WITH {V.ENTITIES}, {V.TRUTH} SELECT entity_id AS s1_id, coalesce(string_agg(target_id, ',' ORDER BY target_id), '') AS ids FROM ent LEFT JOIN tru ON s1_id = entity_id WHERE b = 1 GROUP BY entity_id")
+def match_list_sink(spark, d):
+    e = V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
+    return linkage.to_lists(V.truth(spark, d).withColumn("rank", F.lit(1)), e)
+
+
+@query("SELECT c_nationkey AS s1_id, 'S2-' || c_custkey AS target_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank FROM customer QUALIFY rank <= 20")
+def candidate_explode(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: F.concat(F.lit(" S2-"), x, F.lit(" "))), ",,")
+    lists = c.groupBy(F.col("c_nationkey").alias("s1_id")).agg(linkage.id_list(ids).alias("ids"))
+    return linkage.edges(lists, 20)
+
+
+@query(f"WITH {V.ENTITIES}, {V.TRUTH} SELECT b, count(*) AS n, count(*) FILTER (entity_id IN (SELECT target_id FROM tru)) AS wanted FROM ent WHERE b > 1 GROUP BY b")
+def semi_and_anti_targets(spark, d):
+    t = V.entities(spark, d).where("bucket > 1").select("entity_id", "bucket")
+    wanted = V.truth(spark, d).select(F.col("target_id").alias("entity_id")).distinct()
+    hit, rest = t.join(wanted, "entity_id", "left_semi"), t.join(wanted, "entity_id", "left_anti")
+    both = hit.withColumn("w", F.lit(1)).unionByName(rest.withColumn("w", F.lit(0)))
+    return both.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), F.sum("w").alias("wanted"))
+
+
+@query(f"WITH {V.ENTITIES} SELECT entity_id, country FROM ent QUALIFY row_number() OVER (PARTITION BY country ORDER BY entity_id) <= 25")
+def stratified_sample(spark, d):
+    return sampling.stratified(V.entities(spark, d).select("entity_id", "country"), "country", "entity_id", 25, seed=None)
+
+
+@query()
+def distractor_sample(spark, d):
+    t = V.entities(spark, d).where("bucket > 1").select("entity_id", "country")
+    return sampling.with_distractors(t, V.truth(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), 100)
+
+
+# Retrieval --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.WORD_STAGE} SELECT country, term, round(idf, 6) AS idf FROM wd_v")
+def word_vocabulary(spark, d):
+    _, t = V.prepared(spark, d)
+    return retrieval.weigh(t, retrieval.word_terms(F.col("x")))[0].withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {V.CHAR_STAGE} SELECT country, term, round(idf, 6) AS idf FROM ch_v")
+def char_vocabulary(spark, d):
+    _, t = V.prepared(spark, d)
+    return retrieval.weigh(t, retrieval.char_terms(F.col("x")), max_df=0.25)[0].withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {V.WORD_STAGE} SELECT s1_id, target_id, score, rank FROM short WHERE rank <= 10")
+def tfidf_word_topk(spark, d):
+    s1, t = V.prepared(spark, d)
+    vocabulary, weights = retrieval.weigh(t, retrieval.word_terms(F.col("x")))
+    return retrieval.top(retrieval.cosine(retrieval.weigh_queries(s1, retrieval.word_terms(F.col("x")), vocabulary), weights), 10)
+
+
+def _candidates(spark, d):
+    return retrieval.candidates(*V.prepared(spark, d))
+
+
+@query(f"WITH {V.CHAR_STAGE} SELECT s1_id, target_id, score, rank FROM cand")
+def two_stage_candidates(spark, d):
+    return _candidates(spark, d)
+
+
+@query(
+    f"""WITH {V.CHAR_STAGE}, {V.TRUTH} SELECT n_true, captured, avg_candidates, singletons, without, CASE WHEN n_true = 0 THEN 100 ELSE round(100 * captured / n_true, 6) END AS recall
+FROM (SELECT count(*) AS n_true, count(c.s1_id) AS captured FROM tru LEFT JOIN cand c USING (s1_id, target_id)),
+(SELECT round(avg(coalesce(n, 0)), 6) AS avg_candidates, count(*) FILTER (entity_id NOT IN (SELECT s1_id FROM tru)) AS singletons, count(*) FILTER (n IS NULL) AS without
+ FROM ent LEFT JOIN (SELECT s1_id, count(*) AS n FROM cand GROUP BY 1) ON s1_id = entity_id WHERE b = 1)"""
+)
+def recall_ceiling(spark, d):
+    e = V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
+    return retrieval.recall_report(_candidates(spark, d), V.truth(spark, d), e)
+
+
+@query(f"WITH {V.ADDRESSES}, c AS (SELECT o_orderkey AS id, regexp_extract(address, '\\b([0-9]{{5}})\\b', 1) AS code FROM adr) SELECT a.id AS s1_id, b.id AS target_id FROM c a JOIN c b USING (code) WHERE a.id % 100 = 0 AND b.id % 100 <> 0")
+def pincode_augment(spark, d):
+    c = V.addresses(spark, d).select(F.col("o_orderkey").alias("id"), T.pincode(F.col("address")).alias("code"))
+    return retrieval.augment_by_code(c.where("id % 100 = 0"), c.where("id % 100 <> 0"))
+
+
+_SHARED = f"""tok AS (SELECT entity_id AS id, b, {_TOKENS} AS ts FROM pre), fl AS (SELECT id, b, unnest(ts) AS t FROM tok WHERE b > 1 OR len(ts) >= 2),
+hit AS (SELECT a.id AS s1_id, t.id AS target_id, count(*) AS shared FROM fl a JOIN fl t ON a.t = t.t AND a.b = 1 AND t.b > 1 GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {V.ENTITIES}, {V.PREPARED}, {_SHARED} SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, target_id) <= 5")
+def token_overlap_augment(spark, d):
+    t = V.entities(spark, d).select(F.col("entity_id").alias("id"), "bucket", T.name_tokens(F.col("business_name")).alias("tokens"))
+    return retrieval.augment_by_tokens(t.where("bucket = 1"), t.where("bucket > 1"), cap=5)
+
+
+@query(
+    f"""WITH {V.CHAR_STAGE}, {V.TRUTH}, mk AS (SELECT c.*, t.s1_id IS NOT NULL AS hit FROM ch_c c LEFT JOIN tru t USING (s1_id, target_id) WHERE score >= 0.10),
+bud AS (SELECT entity_id AS s1_id, CASE WHEN n IS NULL THEN 4 ELSE greatest(0, least(20 - coalesce(p, 0), greatest(3, round_even(3.5 * n, 0)))) END AS budget FROM ent
+ LEFT JOIN (SELECT s1_id, count(*) AS n FROM tru GROUP BY 1) x ON x.s1_id = entity_id LEFT JOIN (SELECT s1_id, count(*) FILTER (hit) AS p FROM mk GROUP BY 1) y ON y.s1_id = entity_id WHERE b = 1)
+SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY CASE WHEN score BETWEEN 0.35 AND 0.65 THEN 0 ELSE 1 END, target_id) AS place FROM mk WHERE NOT hit) JOIN bud USING (s1_id) WHERE place <= budget"""
+)
+def hard_negatives(spark, d):
+    s1, t = V.prepared(spark, d)
+    vocabulary, weights = retrieval.weigh(t, retrieval.word_terms(F.col("x")))
+    short = retrieval.top(retrieval.cosine(retrieval.weigh_queries(s1, retrieval.word_terms(F.col("x")), vocabulary), weights), 300)
+    chars, char_weights = retrieval.weigh(t, retrieval.char_terms(F.col("x")), max_df=0.25)
+    scored = retrieval.cosine(retrieval.weigh_queries(s1, retrieval.char_terms(F.col("x")), chars), char_weights, short)
+    return retrieval.hard_negatives(scored, V.truth(spark, d), s1.select(F.col("id").alias("s1_id")))
+
+
+# Pair features ----------------------------------------------------------------------------------------------------
+
+
+def _name_pairs(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower("p_name").alias("a"))
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
+
+
+_PAIRS = "pr AS (SELECT p.p_partkey, lower(p.p_name) AS a, lower(q.p_name) AS b FROM part p JOIN part q ON q.p_partkey - 1 = p.p_partkey)"
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS lev, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE jaro_winkler_similarity(a, b) END, 6) AS jw FROM pr")
+def levenshtein_and_jaro(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _name_pairs(spark, d).select("p_partkey", F.round(fuzzy.levenshtein_norm(a, b), 6).alias("lev"), F.round(fuzzy.similarities(a, b)["jw"], 6).alias("jw"))
+
+
+@query()
+def token_ratios(spark, d):
+    s = fuzzy.similarities(F.col("a"), F.col("b"))
+    return _name_pairs(spark, d).select("p_partkey", F.round(s["sort"], 6).alias("sort"), F.round(s["set"], 6).alias("set"))
+
+
+_NUMS = r"list_distinct(regexp_extract_all({x}, '\b[0-9]+\b'))"
+
+
+@query(
+    f"""WITH {V.ADDRESSES}, nb AS (SELECT a.o_orderkey, a.address AS x, b.address AS y FROM adr a JOIN adr b ON b.o_orderkey = a.o_orderkey + 1),
+f AS (SELECT *, {_NUMS.format(x="x")} AS u, {_NUMS.format(x="y")} AS v, CAST(regexp_extract(x, '{T.PRIMARY}', 1) AS BIGINT) AS p, CAST(regexp_extract(y, '{T.PRIMARY}', 1) AS BIGINT) AS q FROM nb)
+SELECT o_orderkey, round(CASE WHEN len(u) = 0 OR len(v) = 0 THEN 0 ELSE len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) END, 6) AS jaccard,
+round(abs(length(x) - length(y)) / greatest(length(x), length(y), 1), 6) AS len_diff,
+CASE WHEN p <> q AND abs(p - q) > 1 AND NOT starts_with(CAST(p AS VARCHAR), CAST(q AS VARCHAR)) AND NOT starts_with(CAST(q AS VARCHAR), CAST(p AS VARCHAR)) THEN 1::DOUBLE ELSE 0::DOUBLE END AS door FROM f"""
+)
+def address_pair_features(spark, d):
+    a = V.addresses(spark, d)
+    j = a.select("o_orderkey", F.col("address").alias("x")).join(a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("address").alias("y")), "o_orderkey")
+    x, y = F.col("x"), F.col("y")
+    return j.select("o_orderkey", F.round(features.numeric_jaccard(T.numeric_tokens(x), T.numeric_tokens(y)), 6).alias("jaccard"), F.round(features.len_diff(x, y), 6).alias("len_diff"), features.door_conflict(T.primary_number(x), T.primary_number(y)).alias("door"))
+
+
+_W = "list_filter(list_distinct(string_split({x}, ' ')), t -> t <> '')"
+_EXC = "len(list_filter({a}, t -> NOT list_contains({b}, t)))"
+
+
+@query(
+    f"""WITH {V.CHAR_STAGE}, pw AS (SELECT c.s1_id, c.target_id, {_W.format(x="a.clean_name")} AS a, {_W.format(x="t.clean_name")} AS b, a.name AS n, t.name AS m FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id)
+SELECT s1_id, target_id, CAST({_EXC.format(a="b", b="a")} AS DOUBLE) AS extra, CASE WHEN n <> '' AND m <> '' AND (strlen(n) <> length(n)) <> (strlen(m) <> length(m)) THEN 1::DOUBLE ELSE 0::DOUBLE END AS script FROM pw"""
+)
+def word_pair_features(spark, d):
+    e = T.preprocess(V.entities(spark, d)).select("entity_id", "raw_name", T.words(F.col("clean_name")).alias("w"))
+    a, b = (e.select(*[F.col(c).alias(p + c) for c in e.columns]) for p in ("a_", "b_"))
+    j = _candidates(spark, d).join(a, F.col("s1_id") == F.col("a_entity_id")).join(b, F.col("target_id") == F.col("b_entity_id"))
+    return j.select("s1_id", "target_id", features.extra_words(F.col("a_w"), F.col("b_w")).alias("extra"), features.script_mismatch(F.col("a_raw_name"), F.col("b_raw_name")).alias("script"))
+
+
+def _features(version: str):
+    def run(spark, d):
+        e = V.entities(spark, d)
+        out = features.pair_features(_candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), version)
+        return out.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in (features.V16 if version == "v16" else features.V18)])
+
+    run.__name__ = f"feature_vector_{version}"
+    return run
+
+
+for _version in ("v16", "v18_train", "v18_tolerant"):
+    query()(_features(_version))
+
+
+# Decisions, evaluation, validation: the character cosine stands for a model's probability ---------------------------
+
+
+def _scored(spark, d):
+    return _candidates(spark, d).withColumnRenamed("score", "prob")
+
+
+def _reference(spark, d):
+    return V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
+
+
+_KEPT = """k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS best FROM cand)
+ WHERE best >= {singleton} AND score >= {link} AND score >= {margin} * best)"""
+_LISTS = "SELECT entity_id AS s1_id, coalesce(string_agg(target_id, ',' ORDER BY {by}), '') AS matches FROM ent LEFT JOIN (SELECT * FROM k WHERE place <= {cap}) ON s1_id = entity_id WHERE b = 1 GROUP BY entity_id"
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.3, link=0.5, margin=0)} {_LISTS.format(by='rank', cap=99999)}")
+def decide_dual(spark, d):
+    return decide.decide(_scored(spark, d), _reference(spark, d), order="rank", link=0.5, singleton=0.3)
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.35, link=0.45, margin=0.7)} {_LISTS.format(by='place', cap=5)}")
+def decide_margin_cap(spark, d):
+    return decide.decide(_scored(spark, d), _reference(spark, d), link=0.45, singleton=0.35, margin=0.7, cap=5)
+
+
+@query(
+    f"""WITH {V.CHAR_STAGE}, j AS (SELECT c.*, p.clean_addr = '' AS miss, max(score) OVER (PARTITION BY s1_id) AS best FROM cand c JOIN pre p ON p.entity_id = c.target_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY s1_id, miss ORDER BY score DESC, rank) AS q FROM j WHERE best >= 0.2 AND score >= 0.2 AND score >= 0.5 * best),
+k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM f WHERE NOT miss OR q <= 1) {_LISTS.format(by="place", cap=99999)}"""
+)
+def decide_quota(spark, d):
+    p = T.preprocess(V.entities(spark, d)).select(F.col("entity_id").alias("target_id"), (F.col("clean_addr") == "").cast("int").alias("is_missing"))
+    return decide.decide(_scored(spark, d).join(p, "target_id"), _reference(spark, d), link=0.2, singleton=0.2, margin=0.5, missing_quota=1)
+
+
+@query(f"WITH {V.CHAR_STAGE} SELECT s1_id, target_id, round((0.4 * score + 0.35 * score * score) / 0.75, 6) AS prob FROM cand")
+def blend(spark, d):
+    s = _scored(spark, d).withColumn("other", F.col("prob") * F.col("prob"))
+    return s.select("s1_id", "target_id", F.round(decide.blend({"prob": 0.4, "other": 0.35}), 6).alias("prob"))
+
+
+def _f(recall_wrong: str, margin: float = 0.7) -> str:
+    return f"""WITH {V.CHAR_STAGE}, {V.TRUTH}, {_KEPT.format(singleton=0.35, link=0.45, margin=margin)},
+c AS (SELECT entity_id, coalesce(p, 0) AS np, coalesce(t, 0) AS nt, coalesce(h, 0) AS tp FROM ent LEFT JOIN (SELECT s1_id, count(*) AS p FROM k GROUP BY 1) a ON a.s1_id = entity_id
+ LEFT JOIN (SELECT s1_id, count(*) AS t FROM tru GROUP BY 1) e ON e.s1_id = entity_id LEFT JOIN (SELECT s1_id, count(*) AS h FROM tru JOIN k USING (s1_id, target_id) GROUP BY 1) g ON g.s1_id = entity_id WHERE b = 1)
+SELECT round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN np = 0 OR nt = 0 OR tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * tp / np + tp / nt) END), 6) AS macro_f05,
+round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN np = 0 OR nt = 0 THEN 0 ELSE tp / np END), 6) AS macro_precision,
+round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN nt = 0 THEN {recall_wrong} WHEN np = 0 THEN 0 ELSE tp / nt END), 6) AS macro_recall FROM c"""
+
+
+def _macro(spark, d, lenient):
+    return evaluate.macro(decide.kept(_scored(spark, d), link=0.45, singleton=0.35, margin=0.7), V.truth(spark, d), _reference(spark, d), lenient)
+
+
+@query(_f("1"))
+def macro_f05(spark, d):
+    return _macro(spark, d, True)
+
+
+@query(_f("0"))
+def macro_f05_script(spark, d):
+    return _macro(spark, d, False)
+
+
+_GRID = """WITH {stage}, {truth}, g AS (SELECT * FROM (SELECT unnest({s}) AS singleton), (SELECT unnest({l}) AS link), (SELECT unnest({m}) AS margin), (SELECT unnest({c}) AS cap)),
+k AS (SELECT *, row_number() OVER (PARTITION BY s1_id, singleton, link, margin, cap ORDER BY score DESC, rank) AS place FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS best FROM cand), g
+ WHERE best >= singleton AND score >= link AND score >= margin * best QUALIFY place <= cap),
+n AS (SELECT singleton, link, margin, cap, s1_id, count(*) AS np, count(t.target_id) AS tp FROM k LEFT JOIN tru t USING (s1_id, target_id) GROUP BY ALL),
+c AS (SELECT g.*, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM ent CROSS JOIN g LEFT JOIN n ON n.s1_id = entity_id AND n.singleton = g.singleton AND n.link = g.link AND n.margin = g.margin AND n.cap = g.cap
+ LEFT JOIN (SELECT s1_id, count(*) AS nt FROM tru GROUP BY 1) t ON t.s1_id = entity_id WHERE b = 1)
+SELECT singleton, link, margin, cap, round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN np = 0 OR nt = 0 OR tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * tp / np + tp / nt) END), 6) AS macro_f05 FROM c GROUP BY ALL"""
+
+
+def _grid_sql(s, li, m, c) -> str:
+    doubles = lambda v: "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]"
+    return _GRID.format(stage=V.CHAR_STAGE, truth=V.TRUTH, s=doubles(s), l=doubles(li), m=doubles(m), c=list(c))
+
+
+_SINGLETONS, _LINKS = [0.2, 0.25, 0.3, 0.35, 0.4], [0.65, 0.67, 0.69, 0.71, 0.73, 0.75, 0.77, 0.79, 0.81, 0.83, 0.85]
+
+
+@query(_grid_sql(_SINGLETONS, _LINKS, [0.0], [1 << 30]))
+def grid_2d(spark, d):
+    return evaluate.grid(_scored(spark, d), V.truth(spark, d), _reference(spark, d), _LINKS, _SINGLETONS).drop("visit")
+
+
+@query(_grid_sql([0.2, 0.4], [0.3, 0.5], [0.6, 0.8], [4, 7]))
+def grid_4d(spark, d):
+    return evaluate.grid(_scored(spark, d), V.truth(spark, d), _reference(spark, d), [0.3, 0.5], [0.2, 0.4], [0.6, 0.8], [4, 7]).drop("visit")
+
+
+@query(f"WITH {V.CHAR_STAGE} SELECT count(*) AS n, count(*) FILTER (score > 0.9) AS over_90, count(*) FILTER (score > 0.7) AS over_70, count(*) FILTER (score > 0.5) AS over_50, count(*) FILTER (score < 0.3) AS under_30 FROM cand")
+def prob_histogram(spark, d):
+    return evaluate.histogram(_scored(spark, d))
+
+
+@query("SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives FROM labels")
+def class_balance(spark, d):
+    return model.balance(spark.read.parquet(f"{d}/labels.parquet").withColumn("label", F.col("quality")))
+
+
+_SUBMITTED = """sub AS (SELECT 'S' || CASE WHEN c_custkey % 50 = 0 THEN '2' ELSE '1' END || '-' || (c_custkey - CASE WHEN c_custkey % 40 = 1 THEN 1 ELSE 0 END) AS s1_id,
+ ['S2-' || c_custkey, CASE WHEN c_custkey % 30 = 0 THEN 'S1-1' WHEN c_custkey % 31 = 0 THEN 'X9' WHEN c_custkey % 37 = 0 THEN 'S2-' || c_custkey ELSE 'S3-1' END] AS ids FROM customer),
+req AS (SELECT 'S1-' || c_custkey AS id FROM customer)"""
+
+
+@query(
+    f"""WITH {_SUBMITTED}, er AS (SELECT 'duplicate_row' AS rule, s1_id FROM sub GROUP BY s1_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_id', s1_id FROM sub WHERE len(ids) <> len(list_distinct(ids))
+UNION ALL SELECT 'self_match', s1_id FROM sub WHERE len(list_filter(ids, x -> starts_with(x, 'S1-'))) > 0 UNION ALL SELECT 'bad_prefix', s1_id FROM sub WHERE len(list_filter(ids, x -> NOT regexp_matches(x, '^S[123]-'))) > 0
+UNION ALL SELECT 'missing_row', id FROM req WHERE id NOT IN (SELECT s1_id FROM sub) UNION ALL SELECT DISTINCT 'extra_row', s1_id FROM sub WHERE s1_id NOT IN (SELECT id FROM req))
+SELECT rule, count(*) AS n, array_to_string(list_sort(list_distinct(list(s1_id)))[1:5], ',') AS examples FROM er GROUP BY rule"""
+)
+def validate_report(spark, d):
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    first = F.concat(F.when(k % 50 == 0, "S2-").otherwise("S1-"), k - F.when(k % 40 == 1, 1).otherwise(0))
+    own = F.concat(F.lit("S2-"), k)
+    second = F.when(k % 30 == 0, "S1-1").when(k % 31 == 0, "X9").when(k % 37 == 0, own).otherwise("S3-1")
+    return validate.report(validate.errors(c.select(first.alias("s1_id"), F.array(own, second).alias("ids")), c.select(F.concat(F.lit("S1-"), k).alias("id"))))
+
+
+@query(f"WITH {V.ADDRESSES}, f AS (SELECT o_orderkey, {_NUMS.format(x='address')} AS u FROM adr), p AS (SELECT a.u, b.u AS v FROM f a JOIN f b ON b.o_orderkey = a.o_orderkey + 1) SELECT round(100 * avg(CASE WHEN len(u) > 0 AND len(v) > 0 AND NOT list_has_any(u, v) THEN 1 ELSE 0 END), 6) AS conflict_share FROM p")
+def house_number_conflicts(spark, d):
+    a = V.addresses(spark, d).select("o_orderkey", T.numeric_tokens(F.col("address")).alias("u"))
+    j = a.join(a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("u").alias("v")), "o_orderkey")
+    return j.agg(F.round(100 * F.avg(F.when(T.conflict(F.col("u"), F.col("v")), 1).otherwise(0)), 6).alias("conflict_share"))
+
+
+@query()
+def boosted_trees(spark, d):
+    """Trained on the candidates' native features against the equal-text truth; scores of all candidates."""
+    e = V.entities(spark, d)
+    pairs = features.pair_features(_candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), "v16")
+    marked = model.split(model.label(pairs, V.truth(spark, d)))
+    fitted = model.train(marked, features.V16, rounds=10, depth=4)
+    return model.score(fitted, marked).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))

@@ -43,6 +43,8 @@ SELECTOR[COUNTS] = np.arange(len(COUNTS))
 MAGIC = 0x3142385345544F4B
 BLOCK = 8192
 SEGMENT = 1 << 18
+#: Chunks whose ids a worker keeps.
+KNOWN = 700_000
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -152,7 +154,7 @@ def _chunked(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    from tessera.llm.bpe import CACHE, chunker
+    from tessera.llm.bpe import chunker
 
     lib = Tokenizer.from_file(path)
     lib.no_truncation()
@@ -160,22 +162,15 @@ def _chunked(path: str):
     chunk = chunker(spaced=True)
     marks = [x.content for x in lib.get_added_tokens_decoder().values()]
     known: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
 
     def run(texts: list[str]) -> list[bytes]:
-        nonlocal known, old
+        nonlocal known
         # A mark splits the text before its pattern does.
         lists = [None if any(m in t for m in marks) else chunk(t) for t in texts]
         need = set(chain.from_iterable(filter(None, lists)))
-        if len(known) + len(need) > CACHE:
-            known, old = {}, known
-        new = []
-        for c in need - known.keys():
-            got = old.get(c)
-            if got is None:
-                new.append(c)
-            else:
-                known[c] = got
+        if len(known) + len(need) > KNOWN:
+            known = {c: known[c] for c in need if c in known}
+        new = [c for c in need if c not in known]
         known.update(zip(new, (array("I", e.ids).tobytes() for e in lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, lists, strict=True)]
 

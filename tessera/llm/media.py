@@ -171,7 +171,7 @@ def _read(places: DataFrame, fields: str, names: list[str], row) -> DataFrame:
 
 def read_headers(places: DataFrame) -> DataFrame:
     """digest, width, height, bits, n_bytes by range reads of HEAD bytes."""
-    return _read(places, "width int, height int, bits int, n_bytes long", ["width", "height", "bits", "n_bytes"], lambda read: png_header(read(HEAD)))
+    return _read(places, "width long, height long, bits long, n_bytes long", ["width", "height", "bits", "n_bytes"], lambda read: png_header(read(HEAD)))
 
 
 def read_bodies(places: DataFrame) -> DataFrame:

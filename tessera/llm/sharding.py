@@ -3,8 +3,9 @@
 Documents that share a text are linked through that text (a hub), so links stay linear in the rows.  Every document
 begins in the shard of its key's hash.  In each round a hub asks its members into the shard where most of them are; a
 shard grants requests up to its free capacity, as a share of the asking hubs that is drawn by hash (hubs of more than
-1/SPLIT of a shard are granted by member instead, so that no group has to fit as a whole).  At the end exact quotas
-hold: shards with too many rows give the rest, unlinked rows first, to those with too few.
+1/SPLIT of a shard and of eight rows are granted by member instead, so that no group has to fit as a whole).  At the
+end exact quotas hold: shards with too many rows give the rest to those with too few, unlinked rows first, then
+members of those large groups, then others.
 
 Law `rows`: the numbers of rows of two shards differ by one at most.
 
@@ -40,11 +41,11 @@ def _sums(df: DataFrame, by: str, shards: int) -> list[int]:
 
 
 def _ranked(df: DataFrame, cells: int, shard: str, first: Column, order: list[str], out: str) -> DataFrame:
-    """Rank from 0 within each shard, rows with a smaller `first` (0 or 1) before others."""
+    """Rank from 0 within each shard, rows with a smaller `first` (0 to 2) before others."""
     cell = df.withColumn("_first", first).withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
     keys = [shard, "_first", "_cell"]
     before = Window.partitionBy(shard).orderBy("_first", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards * 2 * cells rows of four numbers, and a cell stands for CELL rows.
+    # At most shards * 3 * cells rows of four numbers, and a cell stands for CELL rows.
     sums = cell.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return cell.withColumn("_rank", inner).join(F.broadcast(sums), keys).withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_first", "_cell", "_rank", "_before")
@@ -75,17 +76,23 @@ def place(df: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUND
         wish = votes.groupBy("hub", "members").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all"))
         wish = wish.select("hub", "members", F.col("best.shard").alias("wanted"), (F.col("all") - F.col("best.n")).alias("asking")).where("asking > 0")
         wish = scratch.save(wish, f"wish{r}")
-        asked = {x[0]: x[1] for x in wish.groupBy("wanted").agg(F.sum("asking")).collect()}
+        large = F.col("members") > max(8, total // shards // SPLIT)
+        asked = {(x[0], x[1]): x[2] for x in wish.groupBy("wanted", large.alias("large")).agg(F.sum("asking")).collect()}
         if not asked:
             break
         here = _sums(linked, "shard", shards)
-        # Unlinked rows can make room at the end, so a shard's room for linked rows is its whole quota.
-        room = [max(0, int(quota[s] * SLACK) - here[s]) for s in range(shards)]
-        grant = [0 if not asked.get(s) else min(1 << 20, (room[s] << 20) // asked[s]) for s in range(shards)]
-        large = F.col("members") > max(1, total // shards // SPLIT)
-        draw = F.when(large, F.pmod(F.xxhash64(F.col(key), F.lit(r)), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("hub", F.lit(r)), F.lit(1 << 20)))
+        leaving = {x[0]: x[1] for x in votes.join(wish.select("hub", "wanted"), "hub").where("shard <> wanted").groupBy("shard").agg(F.sum("n")).collect()}
+        # Unlinked rows can make room at the end, and rows that ask to leave make room now.
+        room = [max(0, int(quota[s] * SLACK) - here[s] + leaving.get(s, 0)) for s in range(shards)]
+        # Small groups, which fit as a whole, come first; large ones share what room is left.
+        few, many = ([asked.get((s, x), 0) for s in range(shards)] for x in (False, True))
+        grant = [min(1 << 20, (room[s] << 20) // max(1, few[s])) for s in range(shards)]
+        rest = [min(1 << 20, (max(0, room[s] - few[s]) << 20) // max(1, many[s])) for s in range(shards)]
+        to = F.coalesce("wanted", F.lit(0))
+        by_member, by_hub = (F.pmod(F.xxhash64(x, F.lit(r)), F.lit(1 << 20)) for x in (F.col(key), F.col("hub")))
+        drawn = F.when(large, by_member < _pick(to, rest)).otherwise(by_hub < _pick(to, grant))
         moved = linked.join(wish.select("hub", "wanted"), "hub", "left")
-        takes = F.col("wanted").isNotNull() & (draw < _pick(F.coalesce("wanted", F.lit(0)), grant))
+        takes = F.col("wanted").isNotNull() & drawn
         linked = scratch.save(moved.select(key, "size", "text_crc32", "hub", "members", F.when(takes, F.col("wanted")).otherwise(F.col("shard")).alias("shard")), f"round{r}")
     here = _sums(linked, "shard", shards)
     load = [a + b for a, b in zip(lone, here, strict=True)]
@@ -93,8 +100,9 @@ def place(df: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUND
     lack = [max(0, q - a) for a, q in zip(load, quota, strict=True)]
     cells = max(1, total // shards // CELL)
     order = [key, "text_crc32"]
-    both = free_rows.select(key, "size", "text_crc32", "hub", "shard").unionByName(linked.select(key, "size", "text_crc32", "hub", "shard"))
-    ranked = _ranked(both, cells, "shard", F.col("hub").isNotNull().cast("int"), order, "rank")
+    columns = [key, "size", "text_crc32", "hub", "members", "shard"]
+    bound = F.when(F.col("hub").isNull(), 0).when(F.col("members") > max(8, total // shards // SPLIT), 1).otherwise(2)
+    ranked = _ranked(free_rows.select(*columns).unionByName(linked.select(*columns)), cells, "shard", bound, order, "rank")
     index = F.col("rank") + _pick(F.col("shard"), [sum(surplus[:s]) for s in range(shards)])
     to = F.lit(0)
     for s in range(1, shards):  # the shard whose range of lacking rows holds the index

@@ -305,9 +305,11 @@ def _route_anchors(pieces: int):
 
 def _dealt(lines: np.ndarray, piece: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
     """A row per piece that has lines."""
+    if not len(lines):
+        return []
     order = np.argsort(piece, kind="stable")
     piece, lines = piece[order].astype(np.int64), lines[order]
-    cut = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else np.empty(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) 
     packed = _to_payload if kind == 0 else (lambda x: x.tobytes())
     return [(int(piece[a]), kind, packed(lines[a:z])) for a, z in zip(cut, np.append(cut[1:], len(piece)), strict=True)]
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -423,19 +423,36 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
         state = found
 
 
+def _blocks(led: DataFrame) -> DataFrame:
+    """block, class, first, parts of the blocks to join, from (block, id, own), own being a set's size class.
+
+    Class k holds the sets of own classes k and k - 1.  It is left out if it has none of k (k - 1 holds all of it), or if
+    it has none of k - 1 while k + 1 has some (k + 1 holds all of it): any pair of equal or neighbouring classes stays.
+    """
+    per = led.groupBy("block", "own").agg(F.count("*").alias("c"), F.min("id").alias("i"))
+    row = Window.partitionBy("block").orderBy("own")  # one row a size class, a logarithm of the largest set
+    below, above = F.lag("own").over(row) == F.col("own") - 1, F.lead("own").over(row) == F.col("own") + 1
+    near = per.select("*", F.coalesce(below, F.lit(False)).alias("below"), F.coalesce(above, F.lit(False)).alias("above"), F.lag("c").over(row).alias("cb"), F.lag("i").over(row).alias("ib"))
+    held = near.where("below or not above").select(
+        "block", F.col("own").alias("class"), F.expr("if(below, least(i, ib), i)").alias("first"), F.expr("c + if(below, cb, 0)").alias("count")
+    )
+    return held.where("count > 1").select("block", "class", "first", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+
+
 def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row; keys are whole numbers."""
     common = _common(docs, text)
-    sets = scratch.save(_sets(docs, common, words, percent, key, text), "sets")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min(F.col(key).cast("long")).alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    whole = scratch.save(_sets(docs, common, words, percent, key, text), "whole")
+    classes = whole.where("n > 0").groupBy("sig").agg(F.min(F.col(key).cast("long")).alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = scratch.save(classes, "classes")
+    sets = scratch.save(whole.select(key, "n", "sig"), "sets")
+    scratch.drop(whole)
     postings = classes.select("id", "n", F.explode("prefix").alias("token"))
     leaders = postings.groupBy("token").agg(F.min("id").alias("block"), F.count("*").alias("c")).where("c > 1").select("token", "block")
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n")
-    led = postings.join(leaders, "token").select("block", "id", "n").distinct()
-    members = scratch.save(led.select("block", "id", F.explode(F.array(size, size + 1)).alias("class")), "members")
-    blocks = members.groupBy("block", "class").agg(F.count("*").alias("count"), F.min("id").alias("first")).where("count > 1")
-    blocks = blocks.select("block", "class", "first", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    led = scratch.save(postings.join(leaders, "token").select("block", "id", size.alias("own")).distinct(), "led")
+    blocks = _blocks(led)
+    members = led.select("block", "id", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("class"))
     # The first set of a block is in every part of it.
     every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = members.join(blocks, ["block", "class"]).select("block", "class", "id", "parts", F.explode(F.when(F.col("id") == F.col("first"), every).otherwise(one)).alias("part"))

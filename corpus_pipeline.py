@@ -19,9 +19,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    groups = jaccard.components(docs.select("doc_id", "text"), Scratch(spark, "near"), words=5, percent=80)
+    scratch = Scratch(spark, "near")
+    groups = jaccard.components(docs.select("doc_id", "text"), scratch, words=5, percent=80)
     # Only rows that are not their group's representative travel; rows without shingles are their own group.
-    gone = groups.where("component_id <> doc_id").select("doc_id")
+    gone = scratch.keep_only(scratch.save(groups.where("component_id <> doc_id").select("doc_id"), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -31,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -42,6 +43,7 @@ class Scratch:
         self.release()
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tessera_path = at
+        self._saved.append(out)
         return out
 
     def release(self) -> None:
@@ -54,3 +56,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(df._tessera_path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, df: DataFrame) -> DataFrame:
+        """Delete all tables of this scratch but df, which must be one of them."""
+        for other in self._saved:
+            if other is not df:
+                self.drop(other)
+        self._saved = [df]
+        self.release()
+        return df

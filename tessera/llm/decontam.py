@@ -143,4 +143,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int =
     """The rows of docs in which no window occurs."""
     tests = tests_of(benchmark, scratch, width)
     hits = matches(build(docs, tests, scratch, key, text), tests, scratch)
-    return docs.join(hits.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    gone = scratch.keep_only(scratch.save(hits.select(F.col("doc_id").alias(key)).distinct(), "gone"))
+    return docs.join(gone, key, "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@
    sets are all connected already; what is left is compared exactly.  Only links that connect something are
    returned, so a block of many near copies gives as many links as it has members.
 5. A block of more than BLOCK sets is dealt out in parts that each hold its first set.  Sets that did not get connected
-   to it there are compared with all parts in a second step; connected ones need no more links.
+   to it there visit the other parts in a second step; connected ones need no more links.
 6. Components: stars are merged until nothing changes, with written tables between rounds.
 
 Broadcast: the common words (bounded), and the blocks of sets only if there are at most SMALL such sets; beyond
@@ -268,8 +268,11 @@ class _Tree:
         return fits & (np.minimum(over, most) * (100 + percent) >= percent * (low[i] + low[j]))
 
 
-def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links between positions that connect all that is linked, given groups (`known`) that are connected already."""
+def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list[int] | None = None, home: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links between positions that connect all that is linked, given groups (`known`) that are connected already.
+
+    With `home`, only pairs of one set at home and one that is not are compared: the others were before.
+    """
     forest, out = Forest(len(sets)), []
     seen: dict[int, int] = {}
     for i, g in enumerate(known or ()):
@@ -278,7 +281,7 @@ def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list
         seen.setdefault(g, i)
 
     def compare(i: int, j: int) -> None:
-        if forest.root(i) != forest.root(j) and _linked(sets[i], sets[j], percent):
+        if (home is None or home[i] != home[j]) and forest.root(i) != forest.root(j) and _linked(sets[i], sets[j], percent):
             forest.join(i, j)
             out.append((i, j))
 
@@ -287,10 +290,12 @@ def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list
             for j in range(i):
                 compare(i, j)
         return out
-    for i in range(len(sets)):  # the leader first: it connects most of its near copies
-        if i != first:
-            compare(first, i)
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0]))
+    if home is None:
+        for i in range(len(sets)):  # the leader first: it connects most of its near copies
+            if i != first:
+                compare(first, i)
+    order = sorted(range(len(sets)), key=lambda i: (home is not None and not home[i], len(sets[i]), sets[i][0]))
+    homes = sum(home) if home is not None else None
     if len({forest.root(i) for i in order}) == 1:
         return out
     tree = _Tree([sets[i] for i in order])
@@ -307,6 +312,8 @@ def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list
         if level == 0:
             compare(order[i], order[j])
             continue
+        if homes is not None and (max(i, j) * FANOUT**level + FANOUT**level <= homes or min(i, j) * FANOUT**level >= homes):
+            continue
         if (root := uniform(level, i)) >= 0 and root == uniform(level, j):
             continue
         n = len(tree.levels[level - 1][0])
@@ -320,10 +327,10 @@ def join_block(sets: list[np.ndarray], percent: int, first: int = 0, known: list
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the rows (block, class, part, id, known, tokens) of each block's part."""
+    """Links (a, b) of the rows (block, class, part, id, known, home, tokens) of each block's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, known = None, [], [], []
+        now, ids, sets, known, home = None, [], [], [], []
 
         def close():
             one: dict[int, int] = {}
@@ -331,17 +338,18 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
                 one.setdefault(i, p)
             at = sorted(one.values())
             first = min(range(len(at)), key=lambda q: ids[at[q]])
-            links = join_block([sets[p] for p in at], percent, first, [known[p] for p in at])
+            links = join_block([sets[p] for p in at], percent, first, [known[p] for p in at], None if home[0] is None else [home[p] for p in at])
             return [(ids[at[i]], ids[at[j]]) for i, j in links]
 
         for b in batches:
             found = []
-            for *place, i, group, raw in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            for *place, i, group, here, raw in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
                 if place != now:
                     found += close() if len(ids) > 1 else []
-                    now, ids, sets, known = place, [], [], []
+                    now, ids, sets, known, home = place, [], [], [], []
                 ids.append(i)
                 known.append(group)
+                home.append(here)
                 sets.append(np.frombuffer(raw, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
         if len(ids) > 1:
@@ -385,8 +393,8 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_tokens(docs: DataFrame, members: DataFrame, table: Table, words: int, key: str, text: str) -> DataFrame:
-    """members (id, block, class, part, known) with the tokens of their documents."""
-    per = members.groupBy("id").agg(F.collect_list(F.struct("block", "class", "part", "known")).alias("to"))
+    """members (id, block, class, part, known, home) with the tokens of their documents."""
+    per = members.groupBy("id").agg(F.collect_list(F.struct("block", "class", "part", "known", "home")).alias("to"))
     small = per.count() <= SMALL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,12 +402,12 @@ def _with_tokens(docs: DataFrame, members: DataFrame, table: Table, words: int,
             for i, t, to in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 raw, to = shingles(t.as_py(), words, table).tobytes(), to.as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["block"] for x in to]), pa.array([x["class"] for x in to]), pa.array([x["part"] for x in to], pa.int32()), pa.array([i.as_py()] * len(to)), pa.array([x["known"] for x in to]), pa.array([raw] * len(to), pa.binary())],
-                    ["block", "class", "part", "id", "known", "tokens"],
+                    [pa.array([x["block"] for x in to]), pa.array([x["class"] for x in to]), pa.array([x["part"] for x in to], pa.int32()), pa.array([i.as_py()] * len(to)), pa.array([x["known"] for x in to]), pa.array([x["home"] for x in to], pa.bool_()), pa.array([raw] * len(to), pa.binary())],
+                    ["block", "class", "part", "id", "known", "home", "tokens"],
                 )
 
     joined = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(per) if small else per, "id").select("id", "text", "to")
-    return joined.mapInArrow(run, "block long, class long, part int, id long, known long, tokens binary")
+    return joined.mapInArrow(run, "block long, class long, part int, id long, known long, home boolean, tokens binary")
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -457,17 +465,22 @@ def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int =
     every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = members.join(blocks, ["block", "class"]).select("block", "class", "id", "parts", F.explode(F.when(F.col("id") == F.col("first"), every).otherwise(one)).alias("part"))
     dealt = scratch.save(_live(dealt.join(classes.select("id", "n", "bits"), "id"), percent), "dealt")
-    links = scratch.save(_joined(_with_tokens(docs, dealt.withColumn("known", F.col("id")), common, words, key, text), percent), "links")
+    names = scratch.save(classes.select("sig", "id"), "names")
+    scratch.drop(classes)
+    apart = F.lit(None).cast("boolean")
+    links = scratch.save(_joined(_with_tokens(docs, dealt.select("block", "class", "id", "part", F.col("id").alias("known"), apart.alias("home")), common, words, key, text), percent), "links")
     roots = scratch.save(connected(links, scratch), "roots")
-    large = scratch.save(dealt.where("parts > 1"), "large")
+    large = scratch.save(dealt.where("parts > 1"), "split")
     if large.count():
         named = large.join(roots, "id", "left").select("block", "class", "id", "parts", "part", F.coalesce("root", "id").alias("known"))
         lead = named.groupBy("block", "class").agg(F.min_by("known", "id").alias("lead"))
-        stray = named.join(lead, ["block", "class"]).where("known <> lead").select("block", "class", "id", "known", F.explode(every).alias("part"))
+        stray = scratch.save(named.join(lead, ["block", "class"]).where("known <> lead").drop("lead"), "stray")
         if stray.count():
-            again = named.select("block", "class", "id", "known", "part").union(stray.select("block", "class", "id", "known", "part")).distinct()
+            here = named.join(stray.select("block", "class").distinct(), ["block", "class"], "left_semi").withColumn("home", F.lit(True))
+            away = stray.withColumn("to", F.explode(every)).where("to <> part").withColumn("part", F.col("to")).withColumn("home", F.lit(False))
+            again = here.unionByName(away.drop("to"))
             more = _joined(_with_tokens(docs, again, common, words, key, text), percent)
             links = scratch.save(links.union(more), "links-again")
             roots = scratch.save(connected(links, scratch), "roots-again")
-    named = classes.select("sig", "id").join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component_id"))
+    named = names.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component_id"))
     return sets.select(key, F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left").select(key, "n_shingles", F.coalesce("component_id", F.col(key).cast("long")).alias("component_id"))

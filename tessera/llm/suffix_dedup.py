@@ -21,8 +21,10 @@ text); strings are judged on the input.
 Between steps are written tables.  A gram or a passage that a third of the rows hold gives one row per task and
 distinct stretch, and no part has to hold the windows of a gram that many texts share.
 
-Edge cases: null and empty texts and texts under SPAN bytes lose nothing; rows with equal keys are taken in the order
-of their text, and each gets its own result; very long texts are processed whole, in slices that overlap.
+Edge cases: null and empty texts and texts under SPAN bytes lose nothing; null keys come before all others and rows
+with equal keys are taken in the order of their text, and each gets its own result (a table with such rows is sorted and
+written once, with a number per row that stands for the key in all steps); very long texts are processed whole, in
+slices that overlap.
 """
 
 from __future__ import annotations
@@ -459,11 +461,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _numbered(rows: DataFrame, scratch: Scratch, pieces: int) -> DataFrame:
+    """doc, key, text: doc is a row's own number, in the order of keys.  Distinct keys are such numbers themselves."""
+    if rows.groupBy("key").count().where("key IS NULL OR count > 1").isEmpty():
+        return rows.select(F.col("key").alias("doc"), "key", "text")
+    # Full ties are dealt to several parts by their place in the input.
+    order = ("key", "text", "tie")
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    # Increasing over the sorted parts; written, as another run could number the rows in another way.
+    return scratch.save(dealt.select(F.monotonically_increasing_id().alias("doc"), "key", "text"), "numbered")
+
+
 def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row; keys are distinct whole numbers."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row; keys are whole numbers."""
     spark = docs.sparkSession
     pieces = PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    keyed = _numbered(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), scratch, pieces)
+    texts = keyed.select("doc", "text")
+
     def first() -> DataFrame:
         routed = texts.mapInArrow(_route_anchors(pieces), "piece int, kind tinyint, payload binary")
         return routed.repartition("piece").sortWithinPartitions("piece").mapInArrow(_meet, _FOUND)
@@ -479,5 +494,5 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     late = scratch.save(second(), "late")
     gone = met.where("kind = 1").union(late).select("doc", "first", "last")
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    out = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = keyed.join(spans, "doc", "left").select("key", "text", "spans").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc", key)

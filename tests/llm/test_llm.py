@@ -163,6 +163,17 @@ def test_suffixes(spark, prose, monkeypatch, hot):
     assert [bytes(got[i].kept) for i in range(len(texts))] == covered(texts)
 
 
+def test_suffixes_of_repeated_and_null_keys(spark, prose):
+    long = [t for t in prose if len(t or "") > 200][:6]
+    rows = [(7, long[0]), (7, long[0]), (7, long[0]), (3, long[1]), (3, long[2]), (3, "x" + long[1]), (None, long[3]), (None, long[3]), (None, long[2]), (None, None), (9, long[4] + long[0]), (9, None), (1, long[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup(df, Scratch(spark, "t")).collect()
+    # Nulls first, then by key and text.
+    wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    kept = [(r[0], k) for r, k in zip(wanted, covered([t for _, t in wanted]), strict=True)]
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in got), key=repr) == sorted(kept, key=repr)
+
+
 def test_deep_shallow_order():
     rows = np.random.default_rng(1).integers(97, 99, (300, 100)).astype(np.uint8)
     rows[100:200, :60] = rows[:100, :60]

@@ -9,7 +9,8 @@ Random strings have uniform p; structured ones pile up near 0, the less so the s
 stratum of encoding and length: a pass over all documents counts p in BINS bins per stratum (a bounded table, summed by
 Spark), the share of random candidates is read off the bins above TAIL, and the stratum's threshold is the
 lowest t at which the estimated share of structured candidates among those with p >= t is at most RATE.  A stratum
-without such a t reports nothing.  A second pass applies the thresholds.
+without such a t reports nothing.  One of fewer than LEAST candidates shows no share; there a candidate is reported from
+the bin ALONE on, whatever else the table holds.  A second pass applies the thresholds.
 
 Edge cases: null and empty texts have no spans; offsets are code points, ends exclusive; ties keep the order of KINDS;
 a candidate that a fixed span covers in part is dropped.  An empty table has no thresholds.
@@ -32,6 +33,8 @@ __all__ = ["base_spans", "battery", "candidates", "fit_thresholds", "redact", "s
 
 KINDS = ("assign", "access", "hex", "random")
 BINS, TAIL, RATE = 50, 40, 0.1
+#: Threshold of strata under LEAST: p >= 0.02.
+ALONE = 1
 #: Fewest candidates of a stratum from which its share of random ones can be read.
 LEAST = 20
 
@@ -127,10 +130,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def threshold(bins: np.ndarray) -> int | None:
-    """Lowest bin from which on structured candidates are at most RATE, by the uniform share seen above TAIL."""
+    """Lowest bin from which on structured candidates are at most RATE, by the uniform share seen above TAIL; ALONE for a few."""
     total = bins.sum()
     if total < LEAST:
-        return None
+        return ALONE
     each = bins[TAIL:].mean()
     for t in range(1, TAIL + 1):
         kept = bins[t:].sum()

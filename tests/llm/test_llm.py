@@ -123,6 +123,24 @@ def test_secrets(spark):
     assert hidden[400].text == "[assign]' [access]" and hidden[403].text is None and hidden[0].digest == "x"
 
 
+def test_secrets_alone(spark):
+    key = "".join(random.Random(0).choices(secrets.ALPHABETS["base62"], k=40))
+    df = docs(spark, [f"é use {key} now", "plain " + "word" * 8, "/usr/share/doc/packages/readme"])
+    got = by_id(secrets.scan(df))
+    assert [got[i].n_random for i in range(3)] == [1, 0, 0] and got[0].spans == "random:6:46"
+    assert by_id(secrets.redact(df))[0].text == "é use [random] now"
+
+
+@pytest.mark.parametrize("n", [1, 5, 19, 20, 200])
+def test_random_strings_are_found_at_any_number(n):
+    rng, found = random.Random(n), 0
+    for _ in range(2000 // n):
+        at = [secrets.candidates("".join(rng.choices(secrets.ALPHABETS["base64"], k=64)), [])[0][3] for _ in range(n)]
+        limit = secrets.threshold(np.bincount(at, minlength=secrets.BINS))
+        found += sum(limit is not None and b >= limit for b in at)
+    assert found >= 0.8 * 2000
+
+
 def test_toxicity(spark):
     counts = toxicity.count_characters(docs(spark, ["the stupid idiot and the clown", "a stupid thing", "idiot"] * 50))
     model = toxicity.CharModel.of(counts)

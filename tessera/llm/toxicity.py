@@ -5,6 +5,10 @@ token that shows none of this has only itself in its lattice and passes unchange
 (letters, cost) choices per sign, and Viterbi takes the path that is likeliest under channel and a character trigram
 model.  That model is counted over all documents (a table of ALPHABET ** 3 counts, whatever the input).
 
+Spacing: two or more single letters or signs on end, parted by white space of any kind or by . - _ *, are one token; each
+gap in its lattice is a choice of nothing or a word's end, so the model decides which letters make a word.  In a gap that
+is wider than the token's narrowest one, nothing costs DROP; in any other, a word's end costs BREAK.
+
 Score: logistic regression on log counts of FEATURES restored words and word beginnings, fitted on at most SAMPLE
 labelled rows (those first by a hash of the key).  Only the sample's keys, the selected features and the sparse sample
 matrix reach the driver; all are bounded by these parameters.
@@ -41,8 +45,12 @@ STARTS = (4, 5, 6)
 #: Look-alikes (fixed values): the letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: Log costs of the channel.
-SWAP, DROP, KEEP = -1.5, -4.0, -9.0
-SPACED = re.compile(r"(?<!\S)(?:[^\s\w]?\w[^\s\w]?[ .\-_*]){3,}\w(?!\S)")
+SWAP, DROP, KEEP, BREAK = -1.5, -4.0, -9.0, -3.0
+#: A letter, digit or look-alike by itself, or several parted by signs; signs around it.
+_DOTTED = r"[^\W_](?:[.\-_*]+[^\W_])%s"
+_SINGLE = rf"(?>[^\w\s]{{0,3}}{_DOTTED % '*'}[^\w\s]{{0,3}}|[@$!|+(€*])(?!\S)"
+SPACED = re.compile(rf"(?<!\S)(?:{_SINGLE}(?:\s+{_SINGLE})+|[^\w\s]{{0,3}}{_DOTTED % '+'}[^\w\s]{{0,3}}(?!\S))")
+UNIT = re.compile(r"[^\W_]|(?<!\S)[@$!|+(€*](?!\S)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SIGNS = re.compile(r"[0134578@$!|+(€*9.\-_]")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -115,9 +123,35 @@ class CharModel:
             else:
                 steps.append([(x, SWAP) for x in LEET.get(c, "")] + [("", DROP), (" ", KEEP)])
             i += run
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        return self.best(steps)
+
+    def decode_spaced(self, run: str) -> str:
+        """Likeliest words behind letters and signs that stand apart."""
+        units = list(UNIT.finditer(run))
+        gaps = [b.start() - a.end() for a, b in zip(units, units[1:])]
+        least = min(gaps, default=0)
+        steps: list[list[tuple[str, float]]] = []
+        i = 0
+        while i < len(units):
+            c, n = units[i].group(), 1
+            if c.isalpha():
+                while i + n < len(units) and units[i + n].group() == c and gaps[i + n - 1] == least:
+                    n += 1
+                if n < 3:
+                    n = 1
+                steps.append([(c, 0.0), (c * 2, 0.0)] if n > 2 else [(c, 0.0)])
+            else:
+                steps.append([(x, SWAP) for x in LEET.get(c, "")] + [("", DROP), (" ", KEEP)])
+            i += n
+            if i < len(units):
+                steps.append([("", DROP), (" ", 0.0)] if gaps[i - 1] > least else [("", 0.0), (" ", BREAK)])
+        return self.best(steps)
+
+    def best(self, steps: list[list[tuple[str, float]]]) -> str:
+        """Viterbi: the letters of the likeliest path, of equal ones the last in order."""
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
         for choices in steps:
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, said) in best.items():
                 for letters, cost in choices:
                     p, q, total = a, b, score + cost
@@ -126,9 +160,19 @@ class CharModel:
                         total += self.logs[p][q][k]
                         p, q = q, k
                     if (p, q) not in following or following[p, q][0] < total:
-                        following[p, q] = (total, said + letters)
+                        following[p, q] = (total, (said, letters))
             best = following
-        return max((score + self.logs[a][b][EDGE], said) for (a, b), (score, said) in best.items())[1]
+        ends = [(score + self.logs[a][b][EDGE], said) for (a, b), (score, said) in best.items()]
+        top = max(score for score, _ in ends)
+        return max(_said(said) for score, said in ends if score == top)
+
+
+def _said(path: tuple) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def _class_of(c: str) -> int:
@@ -143,7 +187,9 @@ def restore(token: str, model: CharModel) -> list[str]:
     core = core.lstrip("?.,;:*#&%~=\"'([{<-_")
     while len(core) > 2 and core[-1] == core[-2] and not core[-1].isalnum():
         core = core.rstrip(core[-1])
-    if any(c.isalpha() for c in core) and (SIGNS.search(core) or REPEATED.search(core)):
+    if SPACED.fullmatch(token):
+        core = model.decode_spaced(core)
+    elif any(c.isalpha() for c in core) and (SIGNS.search(core) or REPEATED.search(core)):
         core = model.decode(core)
     return LETTERS.findall(core)
 
@@ -153,11 +199,15 @@ def names(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:n]}-" for n in STARTS if len(word) > n)]
 
 
-def _tokens(text: str | None) -> list[str]:
-    low = (text or "").lower()
-    for m in {m.group() for m in SPACED.finditer(low)}:
-        low = low.replace(m, re.sub(r"[ .\-_*]", "", m))
-    return low.split()
+def _tokens(text: str | None, spaced: bool = False) -> list[str]:
+    """Tokens in lower case; spaced-out ones as they stand, for restore(), or else as their letters and signs in a row."""
+    low, out, at = (text or "").lower(), [], 0
+    for m in SPACED.finditer(low):
+        if any(map(str.isalpha, m.group())):
+            out += low[at : m.start()].split()
+            out.append(m.group() if spaced else "".join(UNIT.findall(m.group())))
+            at = m.end()
+    return out + low[at:].split()
 
 
 @dataclass
@@ -176,7 +226,7 @@ class Scorer:
     def vectors(self, texts) -> Iterator[Counter]:
         cache = self.__dict__.setdefault("_cache", Cache(self.ids))
         for t in texts:
-            yield Counter(chain.from_iterable(map(cache.__getitem__, _tokens(t))))
+            yield Counter(chain.from_iterable(map(cache.__getitem__, _tokens(t, True))))
 
     def scores(self, texts) -> Iterator[float]:
         for v in self.vectors(texts):
@@ -225,7 +275,7 @@ def fit(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id",
         cache = Cache(lambda t: tuple(f for w in restore(t, model) for f in names(w)))
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = sorted(set(chain.from_iterable(map(cache.__getitem__, set(_tokens(t))))))
+                held = sorted(set(chain.from_iterable(map(cache.__getitem__, set(_tokens(t, True))))))
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([int(y == 1)] * len(held), pa.int64())], ["name", "y"])
 
     per = sample.mapInArrow(seen, "name string, y long").groupBy("name").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= LEAST)

@@ -157,6 +157,36 @@ def test_toxicity(spark):
     assert toxicity.predict(docs(spark, ODD), empty).count() == len(ODD)
 
 
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("what an i d i o t, really", "what an idiot really"),
+        ("you i d i o t.", "you idiot"),
+        ("are a m o r o n ok", "are a moron ok"),
+        ("s t u p i d i d i o t", "stupid idiot"),
+        ("s t u p i d  i d i o t", "stupid idiot"),
+        ("you i\td\ti\to\tt now", "you idiot now"),
+        ("you i\nd\ni\no\nt", "you idiot"),
+        ("what a n ok", "what an ok"),
+        ("the m a n.", "the man"),
+        ("you 1 d 1 0 t !", "you idiot"),
+        ("you s.t.u.p.i.d. man", "you stupid man"),
+        ("s t u u u u p i d", "stupid"),
+        ("1 2 3 4 man", "man"),
+    ],
+)
+def test_spaced_words(spark, text, words):
+    said = ["what an idiot you are", "the stupid idiot and the moron", "a moron", "you are a stupid man", "ok now really", "an idiot"]
+    model = toxicity.CharModel.of(toxicity.count_characters(docs(spark, said * 50)))
+    assert [w for t in toxicity._tokens(text, True) for w in toxicity.restore(t, model)] == words.split()
+
+
+def test_long_runs_end():
+    model = toxicity.CharModel.of(np.ones([toxicity.ALPHABET] * 3))
+    for text in ("a b " * 20_000, "a.b-" * 20_000, "a. .b-.-. " * 20_000 + "word", "!" * 50_000 + " a"):
+        assert [w for t in toxicity._tokens(text, True) for w in toxicity.restore(t, model)]
+
+
 def covered(texts):
     """Bytes that go, by looking at every window in order."""
     seen, out = set(), []

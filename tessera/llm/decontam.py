@@ -4,7 +4,8 @@ The index is a table of postings (term, document, position) of all documents for
 benchmark, each written segment sorted by term, and a posting END at each document's word count.  A test window's
 terms are ranked by the index's counts; the postings of its two rarest, moved back by their offsets in the window, are
 intersected on (document, start); what is left is intersected with the postings of its other terms.  Starts found for
-all offsets are exact phrase matches.  `near` matches the two rarest terms within a number of words instead.
+all offsets are exact phrase matches.  `near` lets each term lie some words from its place instead, the places counted
+from an occurrence of the rarest; one occurrence may serve equal terms.
 
 Test tables are broadcast only up to SMALL rows (they are counted first); beyond it the same joins shuffle.
 
@@ -110,17 +111,26 @@ def matches(index: Index, tests: Tests, scratch: Scratch) -> DataFrame:
 
 
 def near(index: Index, tests: Tests, scratch: Scratch, slop: int = 3) -> DataFrame:
-    """doc_id, wid, start, off_by: the two rarest terms of a window at most `slop` words from their distance in it."""
+    """doc_id, wid, start, off_by: all of a window's terms at most `slop` words from their places; off_by is how far the farthest is, each taken at its nearest."""
     rarest = _rarest(index, tests, scratch)
 
     def moved(place: int, name: str) -> DataFrame:
-        terms = _small(rarest.where(F.col("place") == place).select("wid", "off", "tid"))
-        return index.postings.join(terms, "tid").select("wid", "doc_id", (F.col("pos") - F.col("off")).alias(name))
+        terms = _small(rarest.where(F.col("place") == place).select("wid", "n", "off", "tid"))
+        return index.postings.join(terms, "tid").select("wid", "n", "doc_id", (F.col("pos") - F.col("off")).alias(name))
 
     a = moved(1, "start").withColumn("cell", F.floor(F.col("start") / (slop + 1)))
-    b = moved(2, "other").withColumn("cell", F.explode(F.array(*[F.floor(F.col("other") / (slop + 1)) + d for d in (-1, 0, 1)])))
-    off = F.col("other") - F.col("start")
-    return a.join(b, ["wid", "doc_id", "cell"]).where(F.abs(off) <= slop).select("doc_id", "wid", "start", off.alias("off_by"))
+    b = moved(2, "other").drop("n").withColumn("cell", F.explode(F.array(*[F.floor(F.col("other") / (slop + 1)) + d for d in (-1, 0, 1)])))
+    off = F.abs(F.col("other") - F.col("start"))
+    pairs = a.join(b, ["wid", "doc_id", "cell"]).where(off <= slop).groupBy("wid", "n", "doc_id", "start").agg(F.min(off).alias("off_by"))
+    single = a.where("n = 1").select("wid", "n", "doc_id", "start", F.lit(0).alias("off_by")).distinct()
+    both = scratch.save(pairs.unionByName(single), "near-pairs")
+    rest = _small(rarest.where("place > 2").select("wid", "off", "tid"))
+    around = F.explode(F.sequence(F.col("start") + F.col("off") - slop, F.col("start") + F.col("off") + slop))
+    asked = both.where("n > 2").join(rest, "wid").select("wid", "doc_id", "start", "off", "tid", around.alias("pos"))
+    each = asked.join(index.postings, ["doc_id", "pos", "tid"]).groupBy("wid", "doc_id", "start", "off").agg(F.min(F.abs(F.col("pos") - F.col("start") - F.col("off"))).alias("by"))
+    got = each.groupBy("wid", "doc_id", "start").agg(F.max("by").alias("by"), F.count("*").alias("held"))
+    whole = both.join(got, ["wid", "doc_id", "start"], "left").where("n <= 2 OR held = n - 2")
+    return whole.select("doc_id", "wid", "start", F.greatest("off_by", F.coalesce("by", F.lit(0))).alias("off_by"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -261,6 +261,32 @@ def test_near_finds_shifted_terms(spark):
     assert {r.doc_id for r in decontam.near(index, tests, scratch, slop=3).where("abs(off_by) > 0").collect()} <= {0}
 
 
+def test_near_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 40))) for _ in range(40)]
+    texts += ["rare one x two y unique", "one two", "lone word"]
+    items = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(12)] + ["rare one two unique", "lone", "absent a"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    scratch, slop = Scratch(spark, "t"), 2
+    tests = decontam.tests_of(bench, scratch)
+    index = decontam.build(docs(spark, texts), tests, scratch)
+    found = decontam.near(index, tests, scratch, slop).join(tests.items, "wid").select("doc_id", "item_id", "start", "off_by").collect()
+    count = {w: sum(t.split().count(w) for t in texts) for i in items for w in i.split()}
+    wanted = set()
+    for i, item in enumerate(items):
+        terms = item.split()
+        rarest = min(range(len(terms)), key=lambda k: (count[terms[k]], k))
+        for d, t in enumerate(texts):
+            at = {w: [p for p, x in enumerate(t.split()) if x == w] for w in terms}
+            for p in at[terms[rarest]]:
+                far = [min((abs(q - k - p + rarest) for q in at[w]), default=slop + 1) for k, w in enumerate(terms) if k != rarest]
+                if max(far, default=0) <= slop:
+                    wanted.add((d, i, p - rarest, max(far, default=0)))
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    # Shifted terms match, two neighbouring words of the window do not, and a window of one word does.
+    assert {x for x in wanted if x[1] >= 12} == {(40, 12, 0, 2), (42, 13, 0, 0)}
+
+
 @pytest.mark.parametrize("block", [3000, 3])
 def test_jaccard(spark, prose, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)

@@ -429,5 +429,5 @@ def boosted_trees(spark, d):
     e = V.entities(spark, d)
     pairs = features.pair_features(_candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), "v16")
     marked = model.split(model.label(pairs, V.truth(spark, d)))
-    fitted = model.train(marked, features.V16, rounds=10, depth=4)
+    fitted = model.train(marked, features.V16)
     return model.score(fitted, marked).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))

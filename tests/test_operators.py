@@ -82,3 +82,22 @@ def test_sampling(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 100)], "s string, k int")
     assert sampling.stratified(df, "s", "k", 3, seed=None).count() == 4
     assert sampling.with_distractors(df, df.where("k = 100"), 2, key="k").count() == 3
+
+
+def test_boosted_trees_train_in_full(spark, monkeypatch):
+    from inspect import signature
+
+    from tessera.plans import catalogue
+
+    bound, seen = signature(catalogue.model.train), {}
+
+    def train(*args, **rule):
+        found = bound.bind(*args, **rule)
+        found.apply_defaults()
+        seen.update(found.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalogue.model, "train", train)
+    with pytest.raises(InterruptedError):
+        catalogue.QUERIES["boosted_trees"](spark, "/root/testdata/sf0.001")
+    assert (seen["rounds"], seen["depth"]) == (40, 6)

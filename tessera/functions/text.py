@@ -8,7 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a legal form, an address contraction, a premise word, a state, a stop word.
+# What counts as a legal form, an address contraction, a state, a stop word, a URL and its endings (TLD), a premise
+# word and its number (PREMISE, NUMBERED, LEADING, COMPOUND), and a primary number.  Digits are [0-9], as engines differ in \d.
 LEGAL = (
     r"private\s+limited|pvt\s+ltd|incorporated|corporation|enterprises|associates|industries|solutions|services|limited|company|pvt|ltd|inc|corp"
     r"|l\s+l\s+c|llc|l\s+l\s+p|llp|pllc|s\s+a\s+r\s+l|sarl|s\s+a\s+s\s+u|sasu|e\s+u\s+r\s+l|eurl|s\s+a\s+s|sas|gmbh|s\s+a|sa|sci|snc|gie|c\s+o|co"
@@ -32,22 +33,50 @@ COMPOUND = r"\b([0-9]{1,4}[-/][0-9]{1,4}(?:[-/][0-9]{1,4})?)\b"
 PRIMARY = r"(?i)\b(?:no\.?|h\.?no\.?|flat|door|ews|unit|suite|ste|apt|n°)?\s*[:#-]?\s*([0-9]+)"
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class of code points, ascending."""
+    out, first = [], None
+    for i, p in enumerate(points):
+        first = p if first is None else first
+        if i + 1 == len(points) or points[i + 1] != p + 1:
+            out.append(f"\\x{{{first:x}}}-\\x{{{p:x}}}")
+            first = None
+    return "[" + "".join(out) + "]"
+
+
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str]:
-    """Characters that decompose to one ASCII letter or digit and marks, and these; built from the Unicode tables."""
-    a, b = [], []
-    for i in range(0x80, 0x20000):
-        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare.isascii() and bare.isalnum():
-            a.append(chr(i))
-            b.append(bare)
-    return "".join(a), "".join(b)
+def _folding() -> tuple[str, str, dict[str, str], str, str]:
+    """From the Unicode tables, by full decomposition without combining marks: characters that give one ASCII letter, digit or
+    ampersand, and these; those that give several characters with such a one among them, and a class of them; a class of marks.
+    """
+    one, plain, several, marks = [], [], {}, []
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if 0xAC00 <= i < 0xD7A4 or 0x20000 <= i < 0xE0000:  # hangul and ideographs give no ASCII
+            continue
+        if unicodedata.combining(c):
+            marks.append(i)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not bare:
+            marks.append(i)
+        if not any(x.isascii() and (x.isalnum() or x == "&") for x in bare):
+            continue
+        if len(bare) == 1:
+            one.append(c)
+            plain.append(bare)
+        else:
+            several[c] = bare
+    return "".join(one), "".join(plain), several, _ranges(sorted(map(ord, several))), _ranges(marks)
 
 
 def fold_accents(x: Column) -> Column:
-    """Letters without their marks; ASCII text passes untouched."""
-    a, b = _folding()
-    return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.regexp_replace(F.translate(x, a, b), r"\p{Mn}+", ""))
+    """Letters without their marks, compatibility forms in full (ligatures, fractions, squared letters); ASCII text passes untouched."""
+    one, plain, several, rare, marks = _folding()
+    table = F.create_map(*[F.lit(v) for pair in several.items() for v in pair])
+    full = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(rare), F.element_at(table, c)).otherwise(c)), "")
+    spelt = F.when(x.rlike(rare), full).otherwise(x)
+    return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.regexp_replace(F.translate(spelt, one, plain), marks, ""))
 
 
 def squeeze(x: Column) -> Column:
@@ -172,6 +201,12 @@ def preprocess(df, name: str = "business_name", address: str = "business_address
     )
 
 
+def normalize_records(df, name: str = "business_name", address: str = "business_address", joint: bool = True):
+    """preprocess() with its results under the names norm_business_name, norm_business_address and norm_joint as well."""
+    out = preprocess(df, name, address).withColumns({"norm_business_name": F.col("clean_name"), "norm_business_address": F.col("clean_addr")})
+    return out.withColumn("norm_joint", F.col("clean_joint")) if joint else out
+
+
 def conflict(a: Column, b: Column) -> Column:
     """Both token sets known, none shared."""
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)

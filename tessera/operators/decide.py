@@ -32,6 +32,18 @@ def decide(scored: DataFrame, entities: DataFrame, order: str = "prob", **rule)
     return entities.select("s1_id").join(lists, "s1_id", "left").select("s1_id", F.coalesce("matches", F.lit("")).alias("matches"))
 
 
+#: Weights of the models that are blended by default.
+BLEND = {"catboost": 0.40, "xgboost": 0.35, "lightgbm": 0.25}
+
+
 def blend(columns: dict[str, float]) -> Column:
     """Weighted mean of probability columns, over the weights given."""
     return sum((F.col(c) * w for c, w in columns.items()), F.lit(0.0)) / sum(columns.values())
+
+
+def blend_loaded(columns: dict[str, str], weights: dict[str, float] | None = None) -> Column:
+    """Blend of the models that are there, from model to probability column: weights (an unknown model's is 1) count among these alone."""
+    if not columns:
+        raise ValueError("no model to blend")
+    known = BLEND if weights is None else {k: w / sum(weights.values()) for k, w in weights.items()}
+    return blend({column: known.get(model, 1.0) for model, column in columns.items()})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fuzzy
 from tessera.functions import text as T
 
+# The names and order of the features.
 V16 = ["name_token_sort_ratio", "name_token_set_ratio", "name_jaro_winkler", "name_levenshtein_norm", "addr_token_sort_ratio", "addr_token_set_ratio", "addr_jaro_winkler", "numeric_token_overlap",
        "postal_pin_exact_match", "numeric_pincode_match", "domain_match", "script_mismatch", "len_diff_name", "len_diff_addr", "is_addr_missing", "blocking_rank"]
 V18 = [*V16[:14], "is_missing", "state_conflict", "door_conflict", "extra_words"]
@@ -50,10 +51,12 @@ def door_conflict(a: Column, b: Column, address_sort: Column | None = None) -> C
     return _flag(F.coalesce(known & (F.abs(a - b) > 1) & ~x.startswith(y) & ~y.startswith(x), F.lit(False)))
 
 
-def extra_words(a: Column, b: Column, tolerant: bool = False) -> Column:
+def extra_words(a: Column, b: Column, tolerant: bool = False, forms: bool = False) -> Column:
+    """Words of b that a lacks; tolerant: the share of words without a counterpart if both sides have some, stop words (and, with
+    `forms`, short legal forms) aside."""
     if not tolerant:
         return F.size(F.array_except(b, a)).cast("double")
-    stop = F.array(*[F.lit(w) for w in T.STOP])
+    stop = F.array(*[F.lit(w) for w in (T.STOP_FORMS if forms else T.STOP)])
     x, y = (F.size(F.array_except(F.array_except(p, q), stop)) for p, q in ((a, b), (b, a)))
     return F.when((x > 0) & (y > 0), F.least(F.lit(1.0), (x + y) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))).otherwise(0.0)
 
@@ -70,12 +73,18 @@ def prepare(records: DataFrame, prefix: str) -> DataFrame:
     )
 
 
+def known_pairs(cands: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """The candidates whose records are there; the others have used up their rank."""
+    return cands.join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi").join(targets.select(F.col("entity_id").alias("target_id")), "target_id", "left_semi").select(*cands.columns)
+
+
 def pair_features(cands: DataFrame, s1: DataFrame, targets: DataFrame, version: str = "v16") -> DataFrame:
-    """cands (s1_id, target_id, rank) with the features of version v16, v18_train or v18_tolerant."""
+    """cands (s1_id, target_id, rank) with the features of version v16, v18_train, v18_tolerant or v18_batch."""
     a, b = prepare(s1, "a_"), prepare(targets, "b_")
     j = cands.join(a, F.col("s1_id") == F.col("a_id")).join(b, F.col("target_id") == F.col("b_id"))
     c = F.col
-    guard = version != "v18_tolerant"
+    guard = version not in ("v18_tolerant", "v18_batch")
+    whole_address = version != "v18_tolerant"
     blank = (c("a_clean_addr") == "") | (c("b_clean_addr") == "")
     j = j.withColumn("n", fuzzy.similarities(c("a_clean_name"), c("b_clean_name"))).withColumn("d", fuzzy.similarities(c("a_clean_addr"), c("b_clean_addr")))
     on_address = lambda x: F.when(blank, 0.0).otherwise(x) if guard else x
@@ -85,7 +94,7 @@ def pair_features(cands: DataFrame, s1: DataFrame, targets: DataFrame, version:
         "addr_token_sort_ratio": on_address(c("d.sort")), "addr_token_set_ratio": on_address(c("d.set")), "addr_jaro_winkler": on_address(c("d.jw")),
         "numeric_token_overlap": numeric_jaccard(c("a_num"), c("b_num")), "postal_pin_exact_match": _flag(F.arrays_overlap("a_pin", "b_pin")), "numeric_pincode_match": _flag(F.arrays_overlap("a_codes", "b_codes")),
         "domain_match": domain_match(c("a_domain_stem"), c("b_domain_stem"), *names), "script_mismatch": script_mismatch(c("a_raw_name"), c("b_raw_name")),
-        "len_diff_name": len_diff(c("a_clean_name"), c("b_clean_name")), "len_diff_addr": F.when(blank, 1.0).otherwise(len_diff(c("a_clean_addr"), c("b_clean_addr"))) if guard else len_diff(c("a_clean_addr"), c("b_clean_addr")),
+        "len_diff_name": len_diff(c("a_clean_name"), c("b_clean_name")), "len_diff_addr": F.when(blank, 1.0).otherwise(len_diff(c("a_clean_addr"), c("b_clean_addr"))) if whole_address else len_diff(c("a_clean_addr"), c("b_clean_addr")),
     }
     if version == "v16":
         out |= {"is_addr_missing": c("b_is_addr_missing").cast("double"), "blocking_rank": c("rank").cast("double")}
@@ -93,6 +102,6 @@ def pair_features(cands: DataFrame, s1: DataFrame, targets: DataFrame, version:
         strict = version == "v18_train"
         out |= {
             "is_missing": _flag(c("b_clean_addr") == ""), "state_conflict": state_conflict(c("a_state"), c("b_state")),
-            "door_conflict": door_conflict(c("a_door"), c("b_door"), c("d.sort") if strict else None), "extra_words": extra_words(c("a_words"), c("b_words"), not strict),
+            "door_conflict": door_conflict(c("a_door"), c("b_door"), c("d.sort") if strict else None), "extra_words": extra_words(c("a_words"), c("b_words"), not strict, version == "v18_batch"),
         }
     return j.select("s1_id", "target_id", "rank", *[x.alias(k) for k, x in out.items()])

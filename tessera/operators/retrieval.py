@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 DIGITS = 6
+#: Pairs of postings up to which a join of all of them is taken, instead of one that leaves out what cannot reach the best.
+DIRECT = 200_000_000
 
 
 def word_terms(x: Column) -> Column:
@@ -55,8 +57,8 @@ def weigh(docs: DataFrame, terms: Column, min_df: int = 2, max_df: float = 0.02,
 
 def scale(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
     raw = tf.join(vocabulary, ["country", "term"]).select("country", "id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("country", "id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["country", "id"]).select("country", "id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("country", "id")))
+    return raw.select("country", "id", "term", (F.col("raw") / norm).alias("w"))
 
 
 def weigh_queries(docs: DataFrame, terms: Column, vocabulary: DataFrame) -> DataFrame:
@@ -82,12 +84,71 @@ def top(scores: DataFrame, k: int, least: float | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def coarse(queries: DataFrame, targets: DataFrame, k: int, direct: int = DIRECT) -> DataFrame:
+    """The k best targets of each query by cosine: top(cosine(queries, targets), k).
+
+    With more than `direct` pairs of postings, most of them are never joined.  A query's terms are taken from rare to
+    frequent; the score of its k-th best target by the first terms is one that all k best reach at least.  Terms whose largest
+    possible scores together stay under it (what is frequent, mostly) bring no target in; they only add to targets that
+    others brought in.
+    """
+    stats = targets.groupBy("country", "term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    asked = queries.join(stats, ["country", "term"])
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
+        return top(cosine(queries, targets), k)
+    order = Window.partitionBy("country", "id").orderBy("df", "term")
+    onward, sofar = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    bounded = asked.select(
+        "country", "term", F.col("id").alias("s1_id"), F.col("w").alias("wq"), F.sum(F.col("w") * F.col("most")).over(onward).alias("reach"), F.coalesce(F.sum("df").over(sofar), F.lit(0)).alias("before")
+    )
+    t = targets.select("country", "term", F.col("id").alias("target_id"), F.col("w").alias("wt"))
+
+    def scores(terms: DataFrame) -> DataFrame:
+        return terms.join(t, ["country", "term"]).groupBy("country", "s1_id", "target_id").agg(F.sum(F.col("wq") * F.col("wt")).alias("part"))
+
+    place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("part")))
+    floor = scores(bounded.where(F.col("before") < 4 * k)).withColumn("place", place).where(F.col("place") == k).select("s1_id", (F.col("part") - 10.0**-DIGITS).alias("floor"))
+    marked = bounded.join(floor, "s1_id", "left").withColumn("leads", F.col("floor").isNull() | (F.col("reach") >= F.col("floor")))
+    rest = marked.where(~F.col("leads"))
+    slack = rest.groupBy("s1_id").agg(F.max("reach").alias("slack"), F.first("floor").alias("floor"))
+    found = scores(marked.where("leads")).join(slack, "s1_id", "left").where("slack IS NULL OR part + slack >= floor")
+    more = found.where("slack IS NOT NULL").select("country", "s1_id", "target_id").join(rest.select("country", "s1_id", "term", "wq"), ["country", "s1_id"]).join(t, ["country", "term", "target_id"])
+    more = more.groupBy("s1_id", "target_id").agg(F.sum(F.col("wq") * F.col("wt")).alias("more"))
+    whole = found.join(more, ["s1_id", "target_id"], "left").select("s1_id", "target_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("score"))
+    return top(whole, k)
+
+
+def shortlist(s1: DataFrame, targets: DataFrame, k: int = 300, max_df: float = 0.02) -> DataFrame:
+    """(s1_id, target_id, score, rank) by words and pairs of words.  Inputs have (country, id, x)."""
+    vocabulary, weights = weigh(targets, word_terms(F.col("x")), max_df=max_df)
+    return coarse(weigh_queries(s1, word_terms(F.col("x")), vocabulary), weights, k)
+
+
+def by_characters(s1: DataFrame, targets: DataFrame, short: DataFrame | None, max_df: float = 0.25, max_features: int | None = 150_000) -> DataFrame:
+    """(s1_id, target_id, score): character cosine of the shortlist's pairs, or of all pairs without one."""
+    vocabulary, weights = weigh(targets, char_terms(F.col("x")), max_df=max_df, max_features=max_features)
+    return cosine(weigh_queries(s1, char_terms(F.col("x")), vocabulary), weights, short)
+
+
 def candidates(s1: DataFrame, targets: DataFrame, coarse: int = 300, fine: int = 20, least: float = 0.10, word_max_df: float = 0.02, char_max_df: float = 0.25) -> DataFrame:
     """(s1_id, target_id, score, rank): word shortlist, reordered by character cosine.  Inputs have (country, id, x)."""
-    vocabulary, weights = weigh(targets, word_terms(F.col("x")), max_df=word_max_df)
-    short = top(cosine(weigh_queries(s1, word_terms(F.col("x")), vocabulary), weights), coarse)
-    chars, char_weights = weigh(targets, char_terms(F.col("x")), max_df=char_max_df, max_features=150_000)
-    return top(cosine(weigh_queries(s1, char_terms(F.col("x")), chars), char_weights, short), fine, least)
+    return top(by_characters(s1, targets, shortlist(s1, targets, coarse, word_max_df), char_max_df), fine, least)
+
+
+def exact_candidates(s1: DataFrame, targets: DataFrame, fine: int = 20, least: float = 0.10, char_max_df: float = 0.25) -> DataFrame:
+    """What candidates() would give if every target were in the shortlist: all pairs that share an n-gram are scored."""
+    return top(by_characters(s1, targets, None, char_max_df), fine, least)
+
+
+def compare(found: DataFrame, exact: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: mean recall and Jaccard of found against exact candidates, and the share of entities with equal lists, in %."""
+    ids = lambda df, name: df.groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target_id"))), lambda x: x["target_id"]).alias(name))
+    none = F.array().cast("array<string>")
+    both = entities.select("s1_id").join(ids(found, "a"), "s1_id", "left").join(ids(exact, "b"), "s1_id", "left").select(F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    shared, either = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
+    recall = F.when(F.size("b") > 0, shared / F.size("b")).otherwise(1.0)
+    jaccard = F.when(either > 0, shared / either).otherwise(1.0)
+    return both.agg(F.count("*").alias("queries"), F.round(100 * F.avg(recall), 6).alias("recall"), F.round(100 * F.avg(jaccard), 6).alias("jaccard"), F.round(100 * F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("same"))
 
 
 def augment_by_code(s1: DataFrame, targets: DataFrame) -> DataFrame:
@@ -107,7 +168,7 @@ def augment_by_tokens(s1: DataFrame, targets: DataFrame, least: int = 2, cap: in
 
 
 def hard_negatives(scored: DataFrame, truth: DataFrame, entities: DataFrame, top_k: int = 20, least: float = 0.10, band: tuple[float, float] = (0.35, 0.65)) -> DataFrame:
-    """(s1_id, target_id) of mined negatives: those in the band first, then others, by target within each, up to a budget.
+    """(s1_id, target_id) of mined negatives: those in the band first, then others, by target id within each, up to a budget.
 
     Budget: 4 for an entity without matches, else min(top_k - found positives, max(3, round(3.5 * matches))).
     """

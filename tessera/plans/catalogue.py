@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy
@@ -45,64 +45,58 @@ def normalize_text(spark, d):
     return V.documents(spark, d).select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(f"WITH {V.ENTITIES} SELECT entity_id, {V.legal(V.normalize('name'))} AS clean_name FROM ent")
+@query(f"SELECT doc_id, md5({V.legal(V.normalize('text'))}) AS digest FROM documents")
 def legal_suffix_strip(spark, d):
-    return V.entities(spark, d).select("entity_id", T.clean_name(F.col("business_name")).alias("clean_name"))
+    return V.documents(spark, d).select("doc_id", F.md5(T.clean_name(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {V.squeeze(f'''regexp_replace({V.expand(V.fold('address'))}, '[^a-z0-9\\s]', ' ', 'g')''')} AS clean FROM adr")
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {V.squeeze(f"regexp_replace({V.expand(V.fold('address'))}, '[^a-z0-9\\s]', ' ', 'g')")} AS clean FROM adr")
 def address_expand(spark, d):
     return V.addresses(spark, d).select("o_orderkey", T.clean_address(F.col("address")).alias("clean"))
 
 
-@query(
-    f"""SELECT page_id, trim(regexp_replace(lower(string_split(regexp_replace(split_part(split_part(regexp_replace(u, '(?i)^(?:https?://)?(?:www\\d*\\.)?', ''), '/', 1), '?', 1), '(?i)\\.(?:{T.TLD})$', ''), '.')[-1]), '[^a-z0-9-]', '', 'g'), '-') AS stem
-FROM (SELECT page_id, regexp_extract(trim(url), '{T.URL}', 1) AS u FROM pages)"""
-)
+@query(f"SELECT page_id, {V.stem('url')} AS stem FROM pages")
 def domain_stem(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.domain_stem(F.col("url")).alias("stem"))
 
 
-@query(
-    f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, clean_name, md5(clean_addr) AS addr, md5(x) AS joint, {V.MISSING} AS is_addr_missing, strlen(name) <> length(name) AS has_non_ascii FROM pre"
-)
+@query(f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, clean_name, clean_addr, stem AS domain_stem, x AS clean_joint, miss AS is_addr_missing, strlen(name) <> length(name) AS has_non_ascii FROM pre")
 def preprocess_entities(spark, d):
-    p = T.preprocess(V.entities(spark, d))
-    return p.select("entity_id", "clean_name", F.md5(F.col("clean_addr").cast("binary")).alias("addr"), F.md5(F.col("clean_joint").cast("binary")).alias("joint"), "is_addr_missing", "has_non_ascii")
+    return T.preprocess(V.entities(spark, d)).select("entity_id", "clean_name", "clean_addr", "domain_stem", "clean_joint", "is_addr_missing", "has_non_ascii")
+
+
+@query(f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, clean_name AS norm_business_name, clean_addr AS norm_business_address, x AS norm_joint FROM pre")
+def normalize_records(spark, d):
+    return T.normalize_records(V.entities(spark, d)).select("entity_id", "norm_business_name", "norm_business_address", "norm_joint")
 
 
-@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(r'''regexp_extract_all(address, '\b[0-9]+\b')''')} AS numbers, {_list(r'''regexp_extract_all(address, '\b[0-9]{5,6}\b')''')} AS pins FROM adr")
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(V.numbers('address'))} AS numbers, {_list(V.pins('address'))} AS pins FROM adr")
 def numeric_and_pin_tokens(spark, d):
     a = F.col("address")
     return V.addresses(spark, d).select("o_orderkey", _sorted(T.numeric_tokens(a)).alias("numbers"), _sorted(T.pin_tokens(a)).alias("pins"))
 
 
-def _valued(pattern: str, digits: bool) -> str:
-    tidy = f"list_transform(regexp_extract_all(address, '{pattern}', 1), v -> trim(lower(v), '.-#/ '))"
-    found = f"list_filter({tidy}, v -> {'regexp_matches(v, chr(91) || $$0-9$$ || chr(93))' if digits else 'length(v) > 0'})"
-    return f"list_concat({found}, flatten(list_transform({found}, v -> regexp_extract_all(v, '[0-9]+'))))"
-
-
-_LEAD = f"list_transform(regexp_extract_all(address, '{T.LEADING}', 1), v -> lower(v))"
-
-
-@query(
-    f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(f'list_concat({_valued(T.PREMISE, True)}, {_valued(T.NUMBERED, False)}, {_LEAD}, list_transform({_LEAD}, v -> coalesce(nullif(ltrim(v, $$0$$), $$$$), $$0$$)), {_valued(T.COMPOUND, False)})')} AS premises FROM adr"
-)
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(V.premises('address'))} AS premises FROM adr")
 def premise_tokens(spark, d):
     return V.addresses(spark, d).select("o_orderkey", _sorted(T.premise_tokens(F.col("address"))).alias("premises"))
 
 
+@query(f"WITH {V.ADDRESSES} SELECT o_orderkey, {_list(f"list_concat({V.pins('address')}, {V.premises('address')})")} AS codes, {_list(V.found('address', '\\b[0-9]+(?:[/-][0-9]+)?\\b'))} AS houses FROM adr")
+def code_and_house_tokens(spark, d):
+    a = F.col("address")
+    return V.addresses(spark, d).select("o_orderkey", _sorted(T.pin_premise_tokens(a)).alias("codes"), _sorted(T.house_tokens(a)).alias("houses"))
+
+
 @query(
-    f"""WITH {V.ADDRESSES} SELECT o_orderkey, coalesce(list_filter(regexp_extract_all(upper(address), '\\b[A-Za-z][A-Za-z]\\b'), t -> list_contains({T.STATES}, t))[1], '') AS state,
-CAST(regexp_extract(address, '{T.PRIMARY}', 1) AS BIGINT) AS door, coalesce(nullif(regexp_extract(address, '\\b([0-9]{{6}})\\b', 1), ''), nullif(regexp_extract(address, '\\b([0-9]{{5}})(?:-[0-9]{{4}})?\\b', 1), '')) AS code FROM adr"""
+    f"""WITH {V.ADDRESSES} SELECT o_orderkey, {V.state('address')} AS state, CAST({V.number('address')} AS BIGINT) AS door,
+coalesce(nullif(regexp_extract(address, '\\b([0-9]{{6}})\\b', 1), ''), nullif(regexp_extract(address, '\\b([0-9]{{5}})(?:-[0-9]{{4}})?\\b', 1), '')) AS code FROM adr"""
 )
 def state_door_code(spark, d):
     a = F.col("address")
     return V.addresses(spark, d).select("o_orderkey", T.state_token(a).alias("state"), T.primary_number(a).cast("long").alias("door"), T.pincode(a).alias("code"))
 
 
-_TOKENS = f"list_filter(list_distinct(string_split(clean_name, ' ')), t -> length(t) > 2 AND NOT list_contains({T.STOP_FORMS}, t))"
+_TOKENS = f"list_filter(list_distinct(string_split(clean_name, ' ')), t -> length(t) > 2 AND NOT list_contains({V.STOP_FORMS}, t))"
 
 
 @query(f"WITH {V.ENTITIES}, {V.PREPARED} SELECT entity_id, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM pre")
@@ -118,10 +112,22 @@ def truth_edges(spark, d):
     return V.truth(spark, d)
 
 
-@query(f"WITH {V.ENTITIES}, {V.TRUTH} SELECT entity_id AS s1_id, coalesce(string_agg(target_id, ',' ORDER BY target_id), '') AS ids FROM ent LEFT JOIN tru ON s1_id = entity_id WHERE b = 1 GROUP BY entity_id")
+_TRUE_LISTS = "lst AS (SELECT entity_id AS s1_id, coalesce(list(target_id ORDER BY target_id) FILTER (target_id IS NOT NULL), []) AS ids FROM ent LEFT JOIN tru ON s1_id = entity_id WHERE b = 1 GROUP BY entity_id)"
+
+
+@query(f"WITH {V.ENTITIES}, {V.TRUTH}, {_TRUE_LISTS} SELECT s1_id, array_to_string(ids, ',') AS ids FROM lst")
 def match_list_sink(spark, d):
-    e = V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
-    return linkage.to_lists(V.truth(spark, d).withColumn("rank", F.lit(1)), e)
+    return linkage.to_lists(V.truth(spark, d).withColumn("rank", F.lit(1)), V.reference(spark, d))
+
+
+@query(
+    f"""WITH {V.ENTITIES}, {V.TRUTH}, {_TRUE_LISTS} SELECT s1_id, array_to_string(list_filter(ids, x -> starts_with(x, 'S2-')), ',') AS s2_ids, array_to_string(list_filter(ids, x -> starts_with(x, 'S3-')), ',') AS s3_ids,
+len(ids) = 0 AS singleton FROM lst"""
+)
+def truth_by_source(spark, d):
+    lists = linkage.to_lists(V.truth(spark, d).withColumn("rank", F.lit(1)), V.reference(spark, d))
+    out = linkage.by_source(lists.select("s1_id", linkage.id_list(F.col("ids")).alias("ids")))
+    return out.select("s1_id", F.array_join("s2_ids", ",").alias("s2_ids"), F.array_join("s3_ids", ",").alias("s3_ids"), "singleton")
 
 
 @query("SELECT c_nationkey AS s1_id, 'S2-' || c_custkey AS target_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank FROM customer QUALIFY rank <= 20")
@@ -146,10 +152,18 @@ def stratified_sample(spark, d):
     return sampling.stratified(V.entities(spark, d).select("entity_id", "country"), "country", "entity_id", 25, seed=None)
 
 
-@query()
+@query(f"WITH {V.ENTITIES} SELECT page_id FROM ent QUALIFY row_number() OVER (PARTITION BY country, name ORDER BY page_id) = 1")
+def first_by_key(spark, d):
+    return sampling.first_by_key(V.entities(spark, d), ["country", "business_name"], "page_id").select("page_id")
+
+
+@query(
+    f"""WITH {V.ENTITIES}, {V.TRUTH} SELECT entity_id, country FROM ent WHERE entity_id IN (SELECT target_id FROM tru) UNION ALL
+(SELECT entity_id, country FROM ent WHERE b > 1 AND entity_id NOT IN (SELECT target_id FROM tru) ORDER BY entity_id LIMIT 100)"""
+)
 def distractor_sample(spark, d):
     t = V.entities(spark, d).where("bucket > 1").select("entity_id", "country")
-    return sampling.with_distractors(t, V.truth(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), 100)
+    return sampling.with_distractors(t, V.truth(spark, d).select(F.col("target_id").alias("entity_id")).distinct(), 100, seed=None)
 
 
 # Retrieval --------------------------------------------------------------------------------------------------------
@@ -167,20 +181,50 @@ def char_vocabulary(spark, d):
     return retrieval.weigh(t, retrieval.char_terms(F.col("x")), max_df=0.25)[0].withColumn("idf", F.round("idf", 6))
 
 
-@query(f"WITH {V.WORD_STAGE} SELECT s1_id, target_id, score, rank FROM short WHERE rank <= 10")
-def tfidf_word_topk(spark, d):
-    s1, t = V.prepared(spark, d)
-    vocabulary, weights = retrieval.weigh(t, retrieval.word_terms(F.col("x")))
-    return retrieval.top(retrieval.cosine(retrieval.weigh_queries(s1, retrieval.word_terms(F.col("x")), vocabulary), weights), 10)
+@query(f"WITH {V.CHAR_STAGE} SELECT country, term, round(idf, 6) AS idf FROM ch_v JOIN (SELECT country, term, sum(tf) AS n FROM ch_tf WHERE t GROUP BY ALL) USING (country, term) QUALIFY row_number() OVER (PARTITION BY country ORDER BY n DESC, term) <= 200")
+def char_vocabulary_limited(spark, d):
+    """The most frequent n-grams only, by the operator's max_features."""
+    _, t = V.prepared(spark, d)
+    return retrieval.weigh(t, retrieval.char_terms(F.col("x")), max_df=0.25, max_features=200)[0].withColumn("idf", F.round("idf", 6))
 
 
-def _candidates(spark, d):
-    return retrieval.candidates(*V.prepared(spark, d))
+_NATIONS = "nat AS (SELECT 2 AS b, 'r' || n_regionkey AS country, n_nationkey AS id, lower(n_name) AS x FROM nation UNION ALL SELECT 2, 'one ' || r_regionkey, r_regionkey, lower(r_name) FROM region)"
+
+
+@query(
+    f"""WITH {_NATIONS}, src AS (SELECT b, country, id, x FROM nat), {V.CHARS}, {V.weights(0.02, "g", "ch", "grs")} SELECT country, term, round(idf, 6) AS idf FROM ch_v"""
+)
+def small_corpus_vocabulary(spark, d):
+    """Corpora of a few rows and of a single one, where the bounds on document frequency give way."""
+    n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    x = n.select(F.concat(F.lit("r"), "n_regionkey").alias("country"), F.col("n_nationkey").alias("id"), F.lower("n_name").alias("x"))
+    x = x.unionByName(r.select(F.concat(F.lit("one "), "r_regionkey").alias("country"), F.col("r_regionkey").alias("id"), F.lower("r_name").alias("x")))
+    return retrieval.weigh(x, retrieval.char_terms(F.col("x")))[0].withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {V.WORD_STAGE} SELECT s1_id, target_id, score, rank FROM short")
+def tfidf_word_topk(spark, d):
+    return retrieval.shortlist(*V.prepared(spark, d)).select("s1_id", "target_id", "score", "rank")
 
 
 @query(f"WITH {V.CHAR_STAGE} SELECT s1_id, target_id, score, rank FROM cand")
 def two_stage_candidates(spark, d):
-    return _candidates(spark, d)
+    """Both stages from the prepared records on, in one plan."""
+    return retrieval.candidates(*V.prepared(spark, d))
+
+
+_LISTED = "list(target_id ORDER BY rank)"
+
+
+@query(
+    f"""WITH {V.CHAR_STAGE}, {V.EXACT}, l AS (SELECT coalesce(a, []) AS a, coalesce(e, []) AS e FROM ent LEFT JOIN (SELECT s1_id, {_LISTED} AS a FROM cand GROUP BY 1) x ON x.s1_id = entity_id
+ LEFT JOIN (SELECT s1_id, {_LISTED} AS e FROM exa GROUP BY 1) y ON y.s1_id = entity_id WHERE b = 1),
+m AS (SELECT a, e, len(list_intersect(a, e)) AS shared, len(list_distinct(list_concat(a, e))) AS either FROM l)
+SELECT count(*) AS queries, round(100 * avg(CASE WHEN len(e) > 0 THEN shared / len(e) ELSE 1 END), 6) AS recall, round(100 * avg(CASE WHEN either > 0 THEN shared / either ELSE 1 END), 6) AS jaccard,
+round(100 * avg(CASE WHEN a = e THEN 1 ELSE 0 END), 6) AS same FROM m"""
+)
+def two_stage_against_exact(spark, d):
+    return retrieval.compare(V.candidates(spark, d), retrieval.exact_candidates(*V.prepared(spark, d)), V.reference(spark, d))
 
 
 @query(
@@ -190,24 +234,24 @@ FROM (SELECT count(*) AS n_true, count(c.s1_id) AS captured FROM tru LEFT JOIN c
  FROM ent LEFT JOIN (SELECT s1_id, count(*) AS n FROM cand GROUP BY 1) ON s1_id = entity_id WHERE b = 1)"""
 )
 def recall_ceiling(spark, d):
-    e = V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
-    return retrieval.recall_report(_candidates(spark, d), V.truth(spark, d), e)
+    return retrieval.recall_report(V.candidates(spark, d), V.truth(spark, d), V.reference(spark, d))
 
 
-@query(f"WITH {V.ADDRESSES}, c AS (SELECT o_orderkey AS id, regexp_extract(address, '\\b([0-9]{{5}})\\b', 1) AS code FROM adr) SELECT a.id AS s1_id, b.id AS target_id FROM c a JOIN c b USING (code) WHERE a.id % 100 = 0 AND b.id % 100 <> 0")
+@query(f"WITH {V.ADDRESSES}, c AS (SELECT o_orderkey AS id, regexp_extract(address, '\\b([0-9]{{5}})\\b', 1) AS code FROM adr) SELECT a.id AS s1_id, b.id AS target_id FROM c a JOIN c b USING (code) WHERE a.id % 100 = 0 AND a.id <> b.id")
 def pincode_augment(spark, d):
+    """The query set (ids divisible by 100) against all rows but itself."""
     c = V.addresses(spark, d).select(F.col("o_orderkey").alias("id"), T.pincode(F.col("address")).alias("code"))
-    return retrieval.augment_by_code(c.where("id % 100 = 0"), c.where("id % 100 <> 0"))
+    return retrieval.augment_by_code(c.where("id % 100 = 0"), c).where("s1_id <> target_id")
 
 
 _SHARED = f"""tok AS (SELECT entity_id AS id, b, {_TOKENS} AS ts FROM pre), fl AS (SELECT id, b, unnest(ts) AS t FROM tok WHERE b > 1 OR len(ts) >= 2),
 hit AS (SELECT a.id AS s1_id, t.id AS target_id, count(*) AS shared FROM fl a JOIN fl t ON a.t = t.t AND a.b = 1 AND t.b > 1 GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query(f"WITH {V.ENTITIES}, {V.PREPARED}, {_SHARED} SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, target_id) <= 5")
+@query(f"WITH {V.ENTITIES}, {V.PREPARED}, {_SHARED} SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, target_id) <= 60")
 def token_overlap_augment(spark, d):
     t = V.entities(spark, d).select(F.col("entity_id").alias("id"), "bucket", T.name_tokens(F.col("business_name")).alias("tokens"))
-    return retrieval.augment_by_tokens(t.where("bucket = 1"), t.where("bucket > 1"), cap=5)
+    return retrieval.augment_by_tokens(t.where("bucket = 1"), t.where("bucket > 1"))
 
 
 @query(
@@ -217,12 +261,7 @@ bud AS (SELECT entity_id AS s1_id, CASE WHEN n IS NULL THEN 4 ELSE greatest(0, l
 SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY CASE WHEN score BETWEEN 0.35 AND 0.65 THEN 0 ELSE 1 END, target_id) AS place FROM mk WHERE NOT hit) JOIN bud USING (s1_id) WHERE place <= budget"""
 )
 def hard_negatives(spark, d):
-    s1, t = V.prepared(spark, d)
-    vocabulary, weights = retrieval.weigh(t, retrieval.word_terms(F.col("x")))
-    short = retrieval.top(retrieval.cosine(retrieval.weigh_queries(s1, retrieval.word_terms(F.col("x")), vocabulary), weights), 300)
-    chars, char_weights = retrieval.weigh(t, retrieval.char_terms(F.col("x")), max_df=0.25)
-    scored = retrieval.cosine(retrieval.weigh_queries(s1, retrieval.char_terms(F.col("x")), chars), char_weights, short)
-    return retrieval.hard_negatives(scored, V.truth(spark, d), s1.select(F.col("id").alias("s1_id")))
+    return retrieval.hard_negatives(V.scored(spark, d), V.truth(spark, d), V.reference(spark, d))
 
 
 # Pair features ----------------------------------------------------------------------------------------------------
@@ -239,70 +278,112 @@ _PAIRS = "pr AS (SELECT p.p_partkey, lower(p.p_name) AS a, lower(q.p_name) AS b
 @query(f"WITH {_PAIRS} SELECT p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS lev, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE jaro_winkler_similarity(a, b) END, 6) AS jw FROM pr")
 def levenshtein_and_jaro(spark, d):
     a, b = F.col("a"), F.col("b")
-    return _name_pairs(spark, d).select("p_partkey", F.round(fuzzy.levenshtein_norm(a, b), 6).alias("lev"), F.round(fuzzy.similarities(a, b)["jw"], 6).alias("jw"))
+    return _name_pairs(spark, d).select("p_partkey", F.round(fuzzy.levenshtein_norm(a, b), 6).alias("lev"), F.round(fuzzy.similarities(a, b, "jw")["jw"], 6).alias("jw"))
 
 
 @query()
 def token_ratios(spark, d):
-    s = fuzzy.similarities(F.col("a"), F.col("b"))
+    s = fuzzy.similarities(F.col("a"), F.col("b"), "sort", "set")
     return _name_pairs(spark, d).select("p_partkey", F.round(s["sort"], 6).alias("sort"), F.round(s["set"], 6).alias("set"))
 
 
-_NUMS = r"list_distinct(regexp_extract_all({x}, '\b[0-9]+\b'))"
-
-
 @query(
     f"""WITH {V.ADDRESSES}, nb AS (SELECT a.o_orderkey, a.address AS x, b.address AS y FROM adr a JOIN adr b ON b.o_orderkey = a.o_orderkey + 1),
-f AS (SELECT *, {_NUMS.format(x="x")} AS u, {_NUMS.format(x="y")} AS v, CAST(regexp_extract(x, '{T.PRIMARY}', 1) AS BIGINT) AS p, CAST(regexp_extract(y, '{T.PRIMARY}', 1) AS BIGINT) AS q FROM nb)
+f AS (SELECT *, {V.numbers("x")} AS u, {V.numbers("y")} AS v, {V.number("x")} AS p, {V.number("y")} AS q, {V.state("x")} AS s, {V.state("y")} AS t FROM nb)
 SELECT o_orderkey, round(CASE WHEN len(u) = 0 OR len(v) = 0 THEN 0 ELSE len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) END, 6) AS jaccard,
-round(abs(length(x) - length(y)) / greatest(length(x), length(y), 1), 6) AS len_diff,
+round(abs(length(x) - length(y)) / greatest(length(x), length(y), 1), 6) AS len_diff, CASE WHEN s <> '' AND t <> '' AND s <> t THEN 1::DOUBLE ELSE 0::DOUBLE END AS state,
 CASE WHEN p <> q AND abs(p - q) > 1 AND NOT starts_with(CAST(p AS VARCHAR), CAST(q AS VARCHAR)) AND NOT starts_with(CAST(q AS VARCHAR), CAST(p AS VARCHAR)) THEN 1::DOUBLE ELSE 0::DOUBLE END AS door FROM f"""
 )
 def address_pair_features(spark, d):
     a = V.addresses(spark, d)
     j = a.select("o_orderkey", F.col("address").alias("x")).join(a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("address").alias("y")), "o_orderkey")
     x, y = F.col("x"), F.col("y")
-    return j.select("o_orderkey", F.round(features.numeric_jaccard(T.numeric_tokens(x), T.numeric_tokens(y)), 6).alias("jaccard"), F.round(features.len_diff(x, y), 6).alias("len_diff"), features.door_conflict(T.primary_number(x), T.primary_number(y)).alias("door"))
+    return j.select(
+        "o_orderkey", F.round(features.numeric_jaccard(T.numeric_tokens(x), T.numeric_tokens(y)), 6).alias("jaccard"), F.round(features.len_diff(x, y), 6).alias("len_diff"),
+        features.state_conflict(T.state_token(x), T.state_token(y)).alias("state"), features.door_conflict(T.primary_number(x), T.primary_number(y)).alias("door"),
+    )
 
 
-_W = "list_filter(list_distinct(string_split({x}, ' ')), t -> t <> '')"
 _EXC = "len(list_filter({a}, t -> NOT list_contains({b}, t)))"
+#: What the token ratios enter into has no SQL: neither engine knows the longest common subsequence.
+_FUZZY = ("name_token_sort_ratio", "name_token_set_ratio", "addr_token_sort_ratio", "addr_token_set_ratio")
+
+
+def _feature_sql(version: str) -> str:
+    """The native features of a version, column by column."""
+    flag = lambda x: f"CASE WHEN {x} THEN 1::DOUBLE ELSE 0::DOUBLE END"
+    blank = "(ca = '' OR ta = '')"
+    jw = lambda a, b: f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE jaro_winkler_similarity({a}, {b}) END"
+    apart = lambda a, b: f"abs(length({a}) - length({b})) / greatest(length({a}), length({b}), 1)"
+    bare = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    named = version in ("v16", "v18_train")
+    label = lambda s, n: f"CASE WHEN {s} <> '' THEN {s} ELSE {bare(n) if named else chr(39) * 2} END"
+    sa, sb = label("sd", "cn"), label("td", "tn")
+    columns = {
+        "name_jaro_winkler": jw("cn", "tn"), "name_levenshtein_norm": "CASE WHEN greatest(length(cn), length(tn)) = 0 THEN 1 ELSE 1 - levenshtein(cn, tn) / greatest(length(cn), length(tn)) END",
+        "addr_jaro_winkler": f"CASE WHEN {blank} THEN 0 ELSE {jw('ca', 'ta')} END" if named else jw("ca", "ta"),
+        "numeric_token_overlap": "CASE WHEN len(an) = 0 OR len(bn) = 0 THEN 0 ELSE len(list_intersect(an, bn)) / len(list_distinct(list_concat(an, bn))) END",
+        "postal_pin_exact_match": flag("list_has_any(ap, bp)"), "numeric_pincode_match": flag("list_has_any(ac, bc)"),
+        "domain_match": flag(f"(sd <> '' OR td <> '') AND {sa} <> '' AND {sa} = {sb}"), "script_mismatch": flag("rn <> '' AND rt <> '' AND (strlen(rn) <> length(rn)) <> (strlen(rt) <> length(rt))"),
+        "len_diff_name": apart("cn", "tn"), "len_diff_addr": apart("ca", "ta") if version == "v18_tolerant" else f"CASE WHEN {blank} THEN 1 ELSE {apart('ca', 'ta')} END",
+    }
+    if version == "v16":
+        columns |= {"is_addr_missing": "CAST(tm AS DOUBLE)", "blocking_rank": "CAST(rank AS DOUBLE)"}
+    else:
+        columns |= {"is_missing": flag("ta = ''"), "state_conflict": flag("ss <> '' AND ts <> '' AND ss <> ts")}
+        stop = V.STOP_FORMS if version == "v18_batch" else V.STOP
+        x, y = (f"len(list_filter({p}, t -> NOT list_contains({q}, t) AND NOT list_contains({stop}, t)))" for p, q in (("aw", "bw"), ("bw", "aw")))
+        if version == "v18_train":
+            columns["extra_words"] = f"CAST({_EXC.format(a='bw', b='aw')} AS DOUBLE)"
+        else:
+            columns["door_conflict"] = flag("coalesce(sn <> tnr AND abs(sn - tnr) > 1 AND NOT starts_with(CAST(sn AS VARCHAR), CAST(tnr AS VARCHAR)) AND NOT starts_with(CAST(tnr AS VARCHAR), CAST(sn AS VARCHAR)), false)")
+            columns["extra_words"] = f"CASE WHEN {x} > 0 AND {y} > 0 THEN least(1.0, ({x} + {y}) / greatest(len(list_distinct(list_concat(aw, bw))), 1)) ELSE 0 END"
+
+    def side(p: str, *names: str) -> str:
+        name, address, both = f"{p}.clean_name", f"{p}.clean_addr", f"{p}.clean_name || ' ' || {p}.clean_addr"
+        found = [name, address, f"{p}.name", f"{p}.stem", V.numbers(both), V.pins(both), f"list_concat({V.pins(address)}, {V.premises(address)})", V.state(f"{p}.addr"), V.number(f"{p}.addr"), V.words(name)]
+        return ", ".join(f"{e} AS {n}" for e, n in zip(found, names, strict=True))
+
+    mine, theirs = side("a", "cn", "ca", "rn", "sd", "an", "ap", "ac", "ss", "sn", "aw"), side("t", "tn", "ta", "rt", "td", "bn", "bp", "bc", "ts", "tnr", "bw")
+    rounded = ", ".join(f"round({e}, 6) AS {n}" for n, e in columns.items())
+    return f"WITH {V.CHAR_STAGE}, pw AS (SELECT c.s1_id, c.target_id, c.rank, t.miss AS tm, {mine}, {theirs} FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id) SELECT s1_id, target_id, {rounded} FROM pw"
+
+
+def _pairs_of(spark, d, version):
+    e = V.entities(spark, d)
+    return features.pair_features(V.candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), version)
 
 
-@query(
-    f"""WITH {V.CHAR_STAGE}, pw AS (SELECT c.s1_id, c.target_id, {_W.format(x="a.clean_name")} AS a, {_W.format(x="t.clean_name")} AS b, a.name AS n, t.name AS m FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id)
-SELECT s1_id, target_id, CAST({_EXC.format(a="b", b="a")} AS DOUBLE) AS extra, CASE WHEN n <> '' AND m <> '' AND (strlen(n) <> length(n)) <> (strlen(m) <> length(m)) THEN 1::DOUBLE ELSE 0::DOUBLE END AS script FROM pw"""
-)
-def word_pair_features(spark, d):
-    e = T.preprocess(V.entities(spark, d)).select("entity_id", "raw_name", T.words(F.col("clean_name")).alias("w"))
-    a, b = (e.select(*[F.col(c).alias(p + c) for c in e.columns]) for p in ("a_", "b_"))
-    j = _candidates(spark, d).join(a, F.col("s1_id") == F.col("a_entity_id")).join(b, F.col("target_id") == F.col("b_entity_id"))
-    return j.select("s1_id", "target_id", features.extra_words(F.col("a_w"), F.col("b_w")).alias("extra"), features.script_mismatch(F.col("a_raw_name"), F.col("b_raw_name")).alias("script"))
+def _features(version: str, native: bool):
+    without = {*_FUZZY, *(["door_conflict"] if version == "v18_train" else [])} if native else set()
 
-
-def _features(version: str):
     def run(spark, d):
-        e = V.entities(spark, d)
-        out = features.pair_features(_candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), version)
-        return out.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in (features.V16 if version == "v16" else features.V18)])
+        columns = [c for c in (features.V16 if version == "v16" else features.V18) if c not in without]
+        return _pairs_of(spark, d, version).select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns])
 
-    run.__name__ = f"feature_vector_{version}"
+    run.__name__ = f"native_features_{version}" if native else f"feature_vector_{version}"
     return run
 
 
-for _version in ("v16", "v18_train", "v18_tolerant"):
-    query()(_features(_version))
+for _version in ("v16", "v18_train", "v18_tolerant", "v18_batch"):
+    query()(_features(_version, False))
+    query(_feature_sql(_version))(_features(_version, True))
 
 
-# Decisions, evaluation, validation: the character cosine stands for a model's probability ---------------------------
+@query(f"WITH {V.CHAR_STAGE}, raw AS (SELECT s1_id, target_id, rank FROM cand UNION ALL SELECT s1_id, 'S9-' || target_id, rank FROM cand) SELECT s1_id, target_id, rank FROM raw WHERE target_id IN (SELECT entity_id FROM ent WHERE b > 1)")
+def known_candidates(spark, d):
+    """Candidates that have no record go; the others keep their rank."""
+    c = V.candidates(spark, d).select("s1_id", "target_id", "rank")
+    both = c.unionByName(c.withColumn("target_id", F.concat(F.lit("S9-"), "target_id")))
+    e = V.entities(spark, d)
+    return features.known_pairs(both, e.where("bucket = 1"), e.where("bucket > 1"))
 
 
-def _scored(spark, d):
-    return _candidates(spark, d).withColumnRenamed("score", "prob")
+# Decisions, evaluation, validation: the character cosine stands for a model's probability ---------------------------
 
 
-def _reference(spark, d):
-    return V.entities(spark, d).where("bucket = 1").select(F.col("entity_id").alias("s1_id"))
+def _scored(spark, d):
+    return V.candidates(spark, d).withColumnRenamed("score", "prob")
 
 
 _KEPT = """k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS best FROM cand)
@@ -312,28 +393,67 @@ _LISTS = "SELECT entity_id AS s1_id, coalesce(string_agg(target_id, ',' ORDER BY
 
 @query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.3, link=0.5, margin=0)} {_LISTS.format(by='rank', cap=99999)}")
 def decide_dual(spark, d):
-    return decide.decide(_scored(spark, d), _reference(spark, d), order="rank", link=0.5, singleton=0.3)
+    return decide.decide(_scored(spark, d), V.reference(spark, d), order="rank", link=0.5, singleton=0.3)
 
 
 @query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.35, link=0.45, margin=0.7)} {_LISTS.format(by='place', cap=5)}")
 def decide_margin_cap(spark, d):
-    return decide.decide(_scored(spark, d), _reference(spark, d), link=0.45, singleton=0.35, margin=0.7, cap=5)
+    return decide.decide(_scored(spark, d), V.reference(spark, d), link=0.45, singleton=0.35, margin=0.7, cap=5)
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.30, link=0.70, margin=0.82)} {_LISTS.format(by='rank', cap=99999)}")
+def decide_margin_in_order(spark, d):
+    return decide.decide(_scored(spark, d), V.reference(spark, d), order="rank", link=0.70, singleton=0.30, margin=0.82)
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0, link=0.8, margin=0)} {_LISTS.format(by='rank', cap=99999)}")
+def decide_single_threshold(spark, d):
+    return decide.decide(_scored(spark, d), V.reference(spark, d), order="rank", link=0.8, singleton=0.0)
 
 
 @query(
-    f"""WITH {V.CHAR_STAGE}, j AS (SELECT c.*, p.clean_addr = '' AS miss, max(score) OVER (PARTITION BY s1_id) AS best FROM cand c JOIN pre p ON p.entity_id = c.target_id),
-f AS (SELECT *, row_number() OVER (PARTITION BY s1_id, miss ORDER BY score DESC, rank) AS q FROM j WHERE best >= 0.2 AND score >= 0.2 AND score >= 0.5 * best),
-k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM f WHERE NOT miss OR q <= 1) {_LISTS.format(by="place", cap=99999)}"""
+    f"""WITH {V.CHAR_STAGE}, j AS (SELECT c.*, {V.numbers("a.addr")} AS u, {V.numbers("t.addr")} AS v, max(score) OVER (PARTITION BY s1_id) AS best FROM cand c JOIN ent a ON a.entity_id = c.s1_id JOIN ent t ON t.entity_id = c.target_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM j WHERE best >= 0.35 AND score >= 0.40 AND score >= 0.75 * best AND NOT (len(u) > 0 AND len(v) > 0 AND NOT list_has_any(u, v)))
+{_LISTS.format(by="place", cap=5)}"""
 )
+def decide_veto(spark, d):
+    """Pairs whose addresses have numbers, but none in common, are ruled out."""
+    e = V.entities(spark, d).select("entity_id", T.numeric_tokens(F.col("business_address")).alias("n"))
+    a, t = e.select(F.col("entity_id").alias("s1_id"), F.col("n").alias("u")), e.select(F.col("entity_id").alias("target_id"), F.col("n").alias("v"))
+    marked = _scored(spark, d).join(a, "s1_id").join(t, "target_id").withColumn("other_house", T.conflict(F.col("u"), F.col("v")))
+    return decide.decide(marked, V.reference(spark, d), link=0.40, singleton=0.35, margin=0.75, cap=5, veto="other_house")
+
+
+_QUOTA = """j AS (SELECT c.*, t.clean_addr = '' AS miss, {sim} AS sim, max(score) OVER (PARTITION BY s1_id) AS best FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY s1_id, miss ORDER BY score DESC, rank) AS q FROM j WHERE best >= 0.2 AND score >= 0.2 AND score >= 0.5 * best AND (NOT miss OR sim >= {least})),
+k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, rank) AS place FROM f WHERE NOT miss OR q <= 1)"""
+_LEV = "CASE WHEN greatest(length(a.clean_name), length(t.clean_name)) = 0 THEN 1 ELSE 1 - levenshtein(a.clean_name, t.clean_name) / greatest(length(a.clean_name), length(t.clean_name)) END"
+
+
+def _with_missing(spark, d):
+    p = V.records(spark, d)
+    t = p.select(F.col("entity_id").alias("target_id"), (F.col("clean_addr") == "").cast("int").alias("is_missing"), F.col("clean_name").alias("t_name"))
+    return _scored(spark, d).join(t, "target_id").join(p.select(F.col("entity_id").alias("s1_id"), F.col("clean_name").alias("a_name")), "s1_id")
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_QUOTA.format(sim='1', least=0)} {_LISTS.format(by='place', cap=99999)}")
 def decide_quota(spark, d):
-    p = T.preprocess(V.entities(spark, d)).select(F.col("entity_id").alias("target_id"), (F.col("clean_addr") == "").cast("int").alias("is_missing"))
-    return decide.decide(_scored(spark, d).join(p, "target_id"), _reference(spark, d), link=0.2, singleton=0.2, margin=0.5, missing_quota=1)
+    return decide.decide(_with_missing(spark, d), V.reference(spark, d), link=0.2, singleton=0.2, margin=0.5, missing_quota=1)
+
+
+@query(f"WITH {V.CHAR_STAGE}, {_QUOTA.format(sim=_LEV, least=0.6)} {_LISTS.format(by='place', cap=99999)}")
+def decide_quota_by_name(spark, d):
+    """A target without an address needs a similar name; here by edit distance, which SQL knows."""
+    marked = _with_missing(spark, d).withColumn("name_sim", fuzzy.levenshtein_norm(F.col("a_name"), F.col("t_name")))
+    return decide.decide(marked, V.reference(spark, d), link=0.2, singleton=0.2, margin=0.5, missing_quota=1, missing_least=0.6)
 
 
-@query(f"WITH {V.CHAR_STAGE} SELECT s1_id, target_id, round((0.4 * score + 0.35 * score * score) / 0.75, 6) AS prob FROM cand")
+@query(f"WITH {V.CHAR_STAGE} SELECT s1_id, target_id, round((0.4 * score + 0.25 * score * score) / 0.65, 6) AS prob, round((0.35 * score + score * score) / 1.35, 6) AS other FROM cand")
 def blend(spark, d):
-    s = _scored(spark, d).withColumn("other", F.col("prob") * F.col("prob"))
-    return s.select("s1_id", "target_id", F.round(decide.blend({"prob": 0.4, "other": 0.35}), 6).alias("prob"))
+    """Two of three models are loaded; then one that has a weight and one that has none."""
+    s = _scored(spark, d).withColumn("square", F.col("prob") * F.col("prob"))
+    two, odd = decide.blend_loaded({"catboost": "prob", "lightgbm": "square"}), decide.blend_loaded({"xgboost": "prob", "unknown": "square"})
+    return s.select("s1_id", "target_id", F.round(two, 6).alias("prob"), F.round(odd, 6).alias("other"))
 
 
 def _f(recall_wrong: str, margin: float = 0.7) -> str:
@@ -346,7 +466,7 @@ round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN nt = 0 THEN {recall_wrong} WHE
 
 
 def _macro(spark, d, lenient):
-    return evaluate.macro(decide.kept(_scored(spark, d), link=0.45, singleton=0.35, margin=0.7), V.truth(spark, d), _reference(spark, d), lenient)
+    return evaluate.macro(decide.kept(_scored(spark, d), link=0.45, singleton=0.35, margin=0.7), V.truth(spark, d), V.reference(spark, d), lenient)
 
 
 @query(_f("1"))
@@ -359,31 +479,42 @@ def macro_f05_script(spark, d):
     return _macro(spark, d, False)
 
 
+@query(
+    f"""WITH {V.CHAR_STAGE}, {_KEPT.format(singleton=0.35, link=0.45, margin=0.7)}, n AS (SELECT (SELECT count(*) FROM k) / (SELECT count(*) FROM ent WHERE b = 1) AS a)
+SELECT round(a, 6) AS avg_matches, CASE WHEN a > 4.5 THEN 'high' WHEN a < 2.0 THEN 'low' ELSE 'ok' END AS band FROM n"""
+)
+def match_band(spark, d):
+    return evaluate.match_band(decide.kept(_scored(spark, d), link=0.45, singleton=0.35, margin=0.7), V.reference(spark, d))
+
+
 _GRID = """WITH {stage}, {truth}, g AS (SELECT * FROM (SELECT unnest({s}) AS singleton), (SELECT unnest({l}) AS link), (SELECT unnest({m}) AS margin), (SELECT unnest({c}) AS cap)),
-k AS (SELECT *, row_number() OVER (PARTITION BY s1_id, singleton, link, margin, cap ORDER BY score DESC, rank) AS place FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS best FROM cand), g
- WHERE best >= singleton AND score >= link AND score >= margin * best QUALIFY place <= cap),
+h AS (SELECT k.*, g.*, row_number() OVER (PARTITION BY s1_id, singleton, link, margin, cap, miss ORDER BY score DESC, rank) AS q FROM
+ (SELECT c.*, t.clean_addr = '' AS miss, max(score) OVER (PARTITION BY s1_id) AS best FROM cand c JOIN pre t ON t.entity_id = c.target_id) k, g WHERE best >= singleton AND score >= link AND score >= margin * best),
+k AS (SELECT *, row_number() OVER (PARTITION BY s1_id, singleton, link, margin, cap ORDER BY score DESC, rank) AS place FROM h WHERE NOT miss OR q <= {quota} QUALIFY place <= cap),
 n AS (SELECT singleton, link, margin, cap, s1_id, count(*) AS np, count(t.target_id) AS tp FROM k LEFT JOIN tru t USING (s1_id, target_id) GROUP BY ALL),
 c AS (SELECT g.*, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM ent CROSS JOIN g LEFT JOIN n ON n.s1_id = entity_id AND n.singleton = g.singleton AND n.link = g.link AND n.margin = g.margin AND n.cap = g.cap
  LEFT JOIN (SELECT s1_id, count(*) AS nt FROM tru GROUP BY 1) t ON t.s1_id = entity_id WHERE b = 1)
 SELECT singleton, link, margin, cap, round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1 WHEN np = 0 OR nt = 0 OR tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * tp / np + tp / nt) END), 6) AS macro_f05 FROM c GROUP BY ALL"""
+#: Instead of no cap.
+_ALL = 1 << 30
 
 
-def _grid_sql(s, li, m, c) -> str:
+def _grid_query(name: str, singletons: list, links: list, margins: list, caps: list, quota: int | None = None):
     doubles = lambda v: "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]"
-    return _GRID.format(stage=V.CHAR_STAGE, truth=V.TRUTH, s=doubles(s), l=doubles(li), m=doubles(m), c=list(c))
-
-
-_SINGLETONS, _LINKS = [0.2, 0.25, 0.3, 0.35, 0.4], [0.65, 0.67, 0.69, 0.71, 0.73, 0.75, 0.77, 0.79, 0.81, 0.83, 0.85]
 
+    def run(spark, d):
+        scored = _with_missing(spark, d) if quota is not None else _scored(spark, d)
+        return evaluate.grid(scored, V.truth(spark, d), V.reference(spark, d), links, singletons, margins, caps, missing_quota=quota).drop("visit")
 
-@query(_grid_sql(_SINGLETONS, _LINKS, [0.0], [1 << 30]))
-def grid_2d(spark, d):
-    return evaluate.grid(_scored(spark, d), V.truth(spark, d), _reference(spark, d), _LINKS, _SINGLETONS).drop("visit")
+    run.__name__ = name
+    query(_GRID.format(stage=V.CHAR_STAGE, truth=V.TRUTH, s=doubles(singletons), l=doubles(links), m=doubles(margins), c=caps, quota=_ALL if quota is None else quota))(run)
 
 
-@query(_grid_sql([0.2, 0.4], [0.3, 0.5], [0.6, 0.8], [4, 7]))
-def grid_4d(spark, d):
-    return evaluate.grid(_scored(spark, d), V.truth(spark, d), _reference(spark, d), [0.3, 0.5], [0.2, 0.4], [0.6, 0.8], [4, 7]).drop("visit")
+# The surveyed grids.
+_grid_query("grid_1d", [0.0], [0.70, 0.75, 0.78, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90], [0.0], [_ALL])
+_grid_query("grid_2d", [0.2, 0.25, 0.3, 0.35, 0.4], [0.65, 0.67, 0.69, 0.71, 0.73, 0.75, 0.77, 0.79, 0.81, 0.83, 0.85], [0.0], [_ALL])
+_grid_query("grid_3d", [0.30], [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.88, 0.90], [0.75, 0.80, 0.85, 0.88, 0.90, 0.95], [4, 5, 6, _ALL])
+_grid_query("grid_4d", [0.30, 0.40, 0.50, 0.60, 0.70], [0.75, 0.80, 0.83, 0.85, 0.87, 0.88, 0.90, 0.92], [0.80, 0.85, 0.88, 0.90, 0.92, 0.95, 1.00], [4, 5, 6, 7, _ALL], quota=1)
 
 
 @query(f"WITH {V.CHAR_STAGE} SELECT count(*) AS n, count(*) FILTER (score > 0.9) AS over_90, count(*) FILTER (score > 0.7) AS over_70, count(*) FILTER (score > 0.5) AS over_50, count(*) FILTER (score < 0.3) AS under_30 FROM cand")
@@ -391,6 +522,11 @@ def prob_histogram(spark, d):
     return evaluate.histogram(_scored(spark, d))
 
 
+@query(f"WITH {V.CHAR_STAGE}, {V.TRUTH} SELECT s1_id, target_id, CASE WHEN t.s1_id IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END AS label FROM cand c LEFT JOIN tru t USING (s1_id, target_id)")
+def label_pairs(spark, d):
+    return model.label(_scored(spark, d), V.truth(spark, d)).select("s1_id", "target_id", "label")
+
+
 @query("SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives FROM labels")
 def class_balance(spark, d):
     return model.balance(spark.read.parquet(f"{d}/labels.parquet").withColumn("label", F.col("quality")))
@@ -401,33 +537,63 @@ _SUBMITTED = """sub AS (SELECT 'S' || CASE WHEN c_custkey % 50 = 0 THEN '2' ELSE
 req AS (SELECT 'S1-' || c_custkey AS id FROM customer)"""
 
 
-@query(
-    f"""WITH {_SUBMITTED}, er AS (SELECT 'duplicate_row' AS rule, s1_id FROM sub GROUP BY s1_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_id', s1_id FROM sub WHERE len(ids) <> len(list_distinct(ids))
-UNION ALL SELECT 'self_match', s1_id FROM sub WHERE len(list_filter(ids, x -> starts_with(x, 'S1-'))) > 0 UNION ALL SELECT 'bad_prefix', s1_id FROM sub WHERE len(list_filter(ids, x -> NOT regexp_matches(x, '^S[123]-'))) > 0
-UNION ALL SELECT 'missing_row', id FROM req WHERE id NOT IN (SELECT s1_id FROM sub) UNION ALL SELECT DISTINCT 'extra_row', s1_id FROM sub WHERE s1_id NOT IN (SELECT id FROM req))
-SELECT rule, count(*) AS n, array_to_string(list_sort(list_distinct(list(s1_id)))[1:5], ',') AS examples FROM er GROUP BY rule"""
-)
-def validate_report(spark, d):
+def _submitted(spark, d):
     k = F.col("c_custkey")
     c = spark.read.parquet(f"{d}/customer.parquet")
     first = F.concat(F.when(k % 50 == 0, "S2-").otherwise("S1-"), k - F.when(k % 40 == 1, 1).otherwise(0))
     own = F.concat(F.lit("S2-"), k)
     second = F.when(k % 30 == 0, "S1-1").when(k % 31 == 0, "X9").when(k % 37 == 0, own).otherwise("S3-1")
-    return validate.report(validate.errors(c.select(first.alias("s1_id"), F.array(own, second).alias("ids")), c.select(F.concat(F.lit("S1-"), k).alias("id"))))
+    return c.select(first.alias("s1_id"), F.array(own, second).alias("ids")), c.select(F.concat(F.lit("S1-"), k).alias("id"))
+
 
+@query(
+    f"""WITH {_SUBMITTED}, knw AS (SELECT 'S2-' || s_suppkey AS id FROM supplier UNION ALL SELECT 'S3-1'),
+er AS (SELECT 'duplicate_row' AS rule, s1_id FROM sub GROUP BY s1_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_id', s1_id FROM sub WHERE len(ids) <> len(list_distinct(ids))
+UNION ALL SELECT 'self_match', s1_id FROM sub WHERE len(list_filter(ids, x -> starts_with(x, 'S1-'))) > 0 UNION ALL SELECT 'bad_prefix', s1_id FROM sub WHERE len(list_filter(ids, x -> NOT regexp_matches(x, '^S[123]-'))) > 0
+UNION ALL SELECT 'missing_row', id FROM req WHERE id NOT IN (SELECT s1_id FROM sub) UNION ALL SELECT DISTINCT 'extra_row', s1_id FROM sub WHERE s1_id NOT IN (SELECT id FROM req)
+UNION ALL SELECT DISTINCT 'unknown_id', s1_id FROM (SELECT s1_id, unnest(ids) AS x FROM sub) WHERE x NOT IN (SELECT id FROM knw))
+SELECT rule, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(list(s1_id)))[1:5], ',') AS examples FROM er GROUP BY rule"""
+)
+def validate_report(spark, d):
+    lists, required = _submitted(spark, d)
+    known = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S2-"), "s_suppkey").alias("id")).union(spark.range(1).select(F.lit("S3-1")))
+    return validate.report(validate.errors(lists, required, known))
 
-@query(f"WITH {V.ADDRESSES}, f AS (SELECT o_orderkey, {_NUMS.format(x='address')} AS u FROM adr), p AS (SELECT a.u, b.u AS v FROM f a JOIN f b ON b.o_orderkey = a.o_orderkey + 1) SELECT round(100 * avg(CASE WHEN len(u) > 0 AND len(v) > 0 AND NOT list_has_any(u, v) THEN 1 ELSE 0 END), 6) AS conflict_share FROM p")
+
+@query(f"WITH {_SUBMITTED} SELECT count(*) AS rows, count(*) FILTER (len(ids) = 0) AS empty, count(*) FILTER (len(ids) > 0) AS filled FROM (SELECT list_filter(ids, x -> NOT starts_with(x, 'S2-') AND x <> 'S3-1') AS ids FROM sub)")
+def validate_counts(spark, d):
+    lists, _ = _submitted(spark, d)
+    return validate.counts(lists.withColumn("ids", F.filter("ids", lambda x: ~x.startswith("S2-") & (x != "S3-1"))))
+
+
+@query("SELECT value FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN '  ' WHEN c_custkey % 11 = 0 THEN c_name ELSE c_name || chr(9) || 'S2-' || c_custkey END AS value FROM customer) WHERE trim(value) <> '' AND NOT contains(value, chr(9))")
+def validate_lines(spark, d):
+    k = F.col("c_custkey")
+    value = F.when(k % 7 == 0, "  ").when(k % 11 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("\tS2-"), k))
+    return validate.bad_lines(spark.read.parquet(f"{d}/customer.parquet").select(value.alias("value")))
+
+
+@query(f"WITH {V.CHAR_STAGE}, {V.TRUTH}, {_KEPT.format(singleton=0.7, link=0.8, margin=0.95)} SELECT s1_id, target_id FROM k WHERE NOT EXISTS (SELECT 1 FROM tru t WHERE t.s1_id = k.s1_id AND t.target_id = k.target_id)")
+def matches_outside_candidates(spark, d):
+    """Of strict matches those that the truth, taken as the candidate list, lacks."""
+    return validate.outside_candidates(decide.kept(_scored(spark, d), link=0.8, singleton=0.7, margin=0.95).select("s1_id", "target_id"), V.truth(spark, d))
+
+
+@query(
+    f"""WITH {V.ADDRESSES}, f AS (SELECT o_custkey, o_orderkey, {V.premises("address")} AS u FROM adr), p AS (SELECT u, lead(u) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM f)
+SELECT round(100 * avg(CASE WHEN len(u) > 0 AND len(v) > 0 AND NOT list_has_any(u, v) THEN 1 ELSE 0 END), 6) AS conflict_share FROM p WHERE v IS NOT NULL"""
+)
 def house_number_conflicts(spark, d):
-    a = V.addresses(spark, d).select("o_orderkey", T.numeric_tokens(F.col("address")).alias("u"))
-    j = a.join(a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("u").alias("v")), "o_orderkey")
+    """Share of true pairs (a customer's consecutive orders) whose premise tokens have nothing in common."""
+    a = V.addresses(spark, d).select("o_custkey", "o_orderkey", T.premise_tokens(F.col("address")).alias("u"))
+    j = a.withColumn("v", F.lead("u").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("v IS NOT NULL")
     return j.agg(F.round(100 * F.avg(F.when(T.conflict(F.col("u"), F.col("v")), 1).otherwise(0)), 6).alias("conflict_share"))
 
 
 @query()
 def boosted_trees(spark, d):
-    """Trained on the candidates' native features against the equal-text truth; scores of all candidates."""
-    e = V.entities(spark, d)
-    pairs = features.pair_features(_candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), "v16")
+    """Trained on the candidates' features against the equal-title truth; scores of all candidates."""
+    pairs = V.shared(spark, d, "features", lambda: _pairs_of(spark, d, "v16"))
     marked = model.split(model.label(pairs, V.truth(spark, d)))
     fitted = model.train(marked, features.V16)
     return model.score(fitted, marked).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))

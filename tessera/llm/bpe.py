@@ -8,7 +8,8 @@ exactly these two tokens; a sequence whose neighbours are all compatible is *the
 one such sequence, so a position that failed once is never entered again and the walk is linear.
 
 Edge cases: null and empty texts give no ids.  Strings of added tokens inside a text give those tokens' ids.  Texts of
-any length are encoded whole.  Repeated rows give repeated results.
+any length are encoded whole.  Repeated rows give repeated results; an empty table gives none.  A column that has the
+name of an operator's output is refused.
 """
 
 from __future__ import annotations
@@ -18,21 +19,22 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held, new_column
+
 __all__ = ["Bpe", "Cache", "bpe", "decode", "default_path", "encode", "round_trip_digests"]
 
 END = "\x00"  # stands for the end-of-word mark; the byte alphabet has no such character
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Entries of a generation of a chunk cache; two generations are kept.
-CACHE = 250_000
-#: Entries of the pair-compatibility table before it is begun anew.
-PAIRS = 600_000
+CACHE = 150_000
+#: Entries of a generation of the pair-compatibility table.
+PAIRS = 200_000
 
 
 def default_path(name: str) -> str:
@@ -101,18 +103,17 @@ class Bpe:
         self.alphabet = byte_alphabet()
         key = {s: self._key(s) for s in model["vocab"]}
         self.id_of = {key[s]: i for s, i in model["vocab"].items()}
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge: dict[int, int] = {}  # both tokens to the merge's rank and the token it gives, 32 bits each
         for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
             a, b = self._key(a), self._key(b)
-            pair = (self.id_of[a], self.id_of[b])
-            if pair not in self.merge:
-                self.merge[pair] = (rank, self.id_of[a + b])
+            self.merge.setdefault(self.id_of[a] << 32 | self.id_of[b], rank << 32 | self.id_of[a + b])
         self.keys = {i: s for s, i in self.id_of.items()}
         self.match = ahocorasick.Automaton()
         for s, i in self.id_of.items():
             self.match.add_word(s, (len(s), i))
         self.match.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible = Cache(self._fits, PAIRS)
+        self.alone = Cache(lambda b: self.merged(self._units(self.keys[b])) == [b], len(self.keys))
         words, rest = r"'s|'t|'re|'ve|'m|'ll|'d|", rf"[^{SPACE}\p{{L}}\p{{N}}]+"
         self.pieces = regex.compile(
             words + rf"\p{{L}}+|\p{{N}}|{rest}" if self.lower else words + rf" ?\p{{L}}+| ?\p{{N}}+| ?{rest}|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -127,6 +128,9 @@ class Bpe:
         self.joined = spec["decoder"] is None
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+        del self.tokens
+        # Of the vocabulary only single characters are looked up by their string from here on.
+        self.id_of = {s: i for s, i in self.id_of.items() if len(s.removesuffix(END)) == 1}
 
     def _key(self, s: str) -> str:
         return s[: -len(self.suffix)] + END if self.suffix and s.endswith(self.suffix) else s
@@ -140,23 +144,17 @@ class Bpe:
         """The merge loop itself; only pairs of tokens and single tokens ever go through it."""
         units = list(units)
         while len(units) > 1:
-            ranked = [(self.merge[p][0], i) for i, p in enumerate(zip(units, units[1:], strict=False)) if p in self.merge]
+            ranked = [(m, i) for i, (a, b) in enumerate(zip(units, units[1:], strict=False)) if (m := self.merge.get(a << 32 | b)) is not None]
             if not ranked:
                 break
-            i = min(ranked)[1]
-            units[i : i + 2] = [self.merge[units[i], units[i + 1]][1]]
+            m, i = min(ranked)
+            units[i : i + 2] = [m & 0xFFFFFFFF]
         return units
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a; a = -1 asks whether b stands for itself."""
-        got = self.compatible.get((a, b))
-        if got is None:
-            left = self._units(self.keys[a]) if a >= 0 else []
-            got = self.merged(left + self._units(self.keys[b])) == ([a, b] if a >= 0 else [b])
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            self.compatible[a, b] = got
-        return got
+    def _fits(self, pair: int) -> bool:
+        """Whether the second token of a pair (a << 32 | b) may follow the first."""
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        return self.merged(self._units(self.keys[a]) + self._units(self.keys[b])) == [a, b]
 
     def piece(self, s: str) -> list[int]:
         """Ids of a piece in the byte alphabet, with END if the vocabulary marks word ends."""
@@ -167,11 +165,11 @@ class Bpe:
         out: list[int] = []
         starts: list[int] = []
         dead = bytearray(n + 1)
-        pos = 0
+        pos, compatible, alone = 0, self.compatible, self.alone
         while pos < n:
-            before = out[-1] if out else -1
+            before = out[-1] << 32 if out else -1
             for length, i in reversed(at[pos]):
-                if not dead[pos + length] and (before < 0 or self.fits(before, i)) and self.fits(-1, i):
+                if not dead[pos + length] and (before < 0 or compatible[before | i]) and alone[i]:
                     out.append(i)
                     starts.append(pos)
                     pos += length
@@ -223,9 +221,8 @@ class Bpe:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    return held("bpe", path, lambda: Bpe(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -240,8 +237,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
             )
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out])
 
-    kept = df.drop(out)
-    return kept.mapInArrow(run, kept.withColumn(out, F.lit(None).cast("array<int>")).schema)
+    return new_column(df, out).mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<int>")).schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,8 +249,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             texts = [model.decode(np.array(x.as_py() or [], np.int64)) for x in b.column(b.schema.get_field_index(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    kept = df.drop(out)
-    return kept.mapInArrow(run, kept.withColumn(out, F.lit(None).cast("string")).schema)
+    return new_column(df, out).mapInArrow(run, df.withColumn(out, F.lit(None).cast("string")).schema)
 
 
 def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

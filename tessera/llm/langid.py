@@ -7,11 +7,14 @@ the language with more training rows.
 
 Learning reads a bounded sample: about SAMPLE rows of each language, taken by a hash of the key, whatever the input's
 size.  A trigram belongs to a language if its share of that language's trigrams is at least SHARE of its largest share
-in any language; at most GRAMS trigrams of a language are kept.  The model (SLOTS masks of 64 languages each) is the
-only thing that is broadcast, and its size is fixed.
+in any language; a language's filter has room for GRAMS trigrams, those of the largest shares.  The model (SLOTS masks
+of 64 languages each) is the only thing that is broadcast, and its size is fixed by the number of languages, which is
+taken to be small: their row counts reach the driver.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; a letter without evidence gets the commonest
-language with score 0; with nothing learned, all is `und`.  Equal texts get equal answers.
+language with score 0; with nothing learned (an empty table, no label), all is `und`.  Equal texts get equal answers;
+of languages with equal counts the one with more rows wins, then the one whose name comes first.  Texts of any length
+are read whole.  Other columns pass through; one that has the name of an output is refused.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["Model", "fit", "is_held_out", "predict"]
+from tessera.llm.common import Scratch, enter, new_column
+
+__all__ = ["Model", "fit", "is_held_out", "predict", "shows"]
 
 SAMPLE, GRAMS, SHARE = 3000, 60_000, 0.3
 SLOTS, K = 1 << 18, 3
@@ -110,6 +115,7 @@ def _groups(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("langid")
     for b in batches:
         langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lang in sorted(set(langs)):
@@ -122,25 +128,28 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """From the rows of df with a label; the caller has taken held-out rows away."""
     rows = df.where(F.col(label).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    sizes = {str(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     words = max(1, -(-len(languages) // 64))
     masks, rates = np.zeros((words, SLOTS), np.uint64), np.zeros(len(languages))
     if languages:
-        share = F.lit(None)
-        for x in languages:
-            share = F.when(F.col(label) == x, F.lit(min(1.0, SAMPLE / sizes[x]))).otherwise(share)
-        sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(label).alias("lang"), F.col(text).alias("text"))
-        counts = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        scratch = Scratch(df.sparkSession, "langid")
+        # Literals, as a list of rows would start Python workers of another kind that stay beside the others.
+        rates_of = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(min(1.0, SAMPLE / sizes[x])).alias("share")) for x in languages]))
+        drawn = df.sparkSession.range(1).select(rates_of.alias("x")).select("x.*")
+        marked = rows.select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("draw"))
+        sample = marked.join(F.broadcast(drawn), "lang").where(F.col("draw") < F.col("share") * (1 << 20)).select("lang", "text")
+        counts = scratch.save(sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-        shares = counts.join(F.broadcast(totals), "lang").select("gram", F.struct((F.col("n") / F.col("total")).alias("share"), "lang").alias("x"))
-        per = shares.groupBy("gram").agg(F.collect_list("x").alias("x"), F.max("x.share").alias("top"))
-        kept = per.select("gram", F.explode(F.filter("x", lambda x: x["share"] >= F.col("top") * SHARE)).alias("x")).select("gram", "x.*")
-        # At most GRAMS of each language, by share, reach the driver.
+        shares = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
+        held = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= F.col("top") * SHARE)
+        # At most GRAMS of each language, by share, reach the driver; each task sorts out its own first.
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
+        kept = held.withColumn("place", place).where(F.col("place") <= GRAMS).select("lang", "gram").toArrow()
+        scratch.drop(counts)
+        of, codes = kept["lang"].to_numpy(), kept["gram"].to_numpy().view(np.uint64)
         for i, x in enumerate(languages):
-            top = kept.where(F.col("lang") == x).orderBy(F.desc("share"), "gram").limit(GRAMS).select("gram")
-            codes = np.array([r[0] for r in top.collect()], np.int64).astype(np.uint64)
-            for at in slots(codes):
+            for at in slots(codes[of == x]):
                 np.bitwise_or.at(masks[i // 64], at, np.uint64(1 << (i % 64)))
         for i in range(len(languages)):
             fill = float(((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean())
@@ -150,15 +159,28 @@ def fit(df: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of df, and the language and score of each text."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    known = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            found = [x for i, j in _groups(texts) for x in held.value.predict(texts[i:j])]
+            found = [x for i, j in _groups(texts) for x in known.value.predict(texts[i:j])]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, lang, score]
             )
 
-    kept = df.drop(lang, score)
-    return kept.mapInArrow(run, kept.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema)
+    return new_column(df, lang, score).mapInArrow(run, df.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema)
+
+
+def shows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df whose text shows a language: a score over 0.  Rows are dropped where they are read."""
+    known = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            yield b.filter(pa.array([x[1] > 0 for i, j in _groups(texts) for x in known.value.predict(texts[i:j])], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -3,26 +3,33 @@
 1. Equal sets are one class; its smallest key represents it.
 2. Two sets at the threshold share one of their first tokens (a prefix of n - ceil(t * n) + 1) in any order common to
    all.  A token is a shingle's hash under its commonness, the sum of the logarithms of its words' counts over all
-   documents (a table of at most COMMON words), so that shingles of rare words come first, and neither chance nor a
-   passage which many documents share brings documents together.
+   documents; shingles that are themselves frequent come last, by their counts (tables of at most COMMON words and COMMON
+   shingles, the most frequent ones).  So shingles of rare words come first, and neither chance nor a passage which many
+   documents share brings documents together.  Which order holds changes the work, never the result.
 3. Each prefix token leads to the smallest key that has it.  All sets led to one key, and of neighbouring sizes (classes
    in the ratio of the threshold, each set in its own and the next), are a block; every pair that shares a prefix token
-   and may reach the threshold meets in one, so joining within blocks loses no pair.  Blocks first see bitmaps of two
-   bits a token only: a set that no other of its block can overlap enough leaves it.
+   and may reach the threshold meets in one, so joining within blocks loses no pair.  Blocks first see bitmaps of a
+   bit a token only: a set that no other of its block can overlap enough leaves it.
 4. A block is joined by a signature tree: nodes over sets in order of size hold OR- and AND-combined bitmaps and
    the range of sizes.  A dual traversal drops node pairs whose largest possible overlap is too small, and pairs whose
    sets are all connected already; what is left is compared exactly.  Only links that connect something are
    returned, so a block of many near copies gives as many links as it has members.
-5. A block of more than BLOCK sets is dealt out in parts that each hold its first set.  Sets that did not get connected
+5. A block of more than BLOCK sets or TOKENS tokens is dealt out in parts that each hold its first set.  Sets that did not get connected
    to it there visit the other parts in a second step; connected ones need no more links.
 6. Components: stars are merged until nothing changes, with written tables between rounds.
 
-Broadcast: the common words (bounded), and the blocks of sets only if there are at most SMALL such sets; beyond
-that the documents are joined by a shuffle.
+Broadcast: the tables of common words and shingles (bounded by COMMON), and the blocks of sets only while they take
+BROADCAST bytes at most; beyond that the documents are joined by a shuffle.
+
+Tokens are compared, not texts: two shingles count as one if their hashes of HASH_BITS bits (of 64-bit word hashes, which
+no text can be written to make collide but by search) are equal, for which the odds are 2 ** -HASH_BITS a pair.
 
 Words are what white space [\\x20\\x09-\\x0D] parts, after A-Z are lowered.  Edge cases: texts without words and nulls
-have no shingles and are linked with nothing; fewer words than a shingle's are one shingle; rows with equal keys and
-texts are one class; an empty table gives no rows.
+have no shingles and are linked with nothing, so each is its own component; fewer words than a shingle's are one shingle;
+texts of any length are read whole.  Rows whose keys repeat or are null, and keys that are no whole numbers, are numbered
+first (`numbered`), so each row is linked by its own text; a component's id is then its smallest key that is not null.
+Ties cannot occur, as links do not depend on any order; an empty table gives no rows; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,99 +39,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, enter, numbered, small
 
-__all__ = ["Forest", "components", "connected", "join_block", "needed", "shingles"]
+__all__ = ["Forest", "Table", "components", "connected", "join_block", "keep_first", "needed", "shingle_lists", "shingles"]
 
 COMMON = 1 << 18
-BLOCK, SMALL = 3000, 1_000_000
+BLOCK, TOKENS = 3000, 4_000_000
 WORDS64 = 32  # 64-bit words of a bitmap
 FANOUT = 8
-#: Words that a task counts at a time, and the count from which it reports one.
-HELD, REPORT = 2_000_000, 4
-#: A token's commonness takes its top bits.
-SCALE, HASH_BITS = 3.0, 56
+#: Words that a task counts at a time, and the count from which it reports a word or a shingle.
+HELD, REPORT = 1_000_000, 4
+#: A token's commonness takes its top bits: up to PLAIN by its words, above by its own count, if that is FREQUENT or more.
+SCALE, HASH_BITS, PLAIN, FREQUENT = 3.0, 48, 95, 64
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-class _Powers:
-    """Powers of the base modulo 2**64 and of its inverse, as far as texts need them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            self.up, self.down = (np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ h >> np.uint64(33)
 
 
-class Table:
-    """Scaled logarithms of the counts of common words."""
+class _Lookup:
+    """Numbers of at most COMMON hashes; a table of bits turns most others away."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.logs = words[order], np.round(np.log2(counts[order].astype(float)) * SCALE).astype(np.int64)
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], numbers[order].astype(np.int16)
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[(words & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
-        maybe = np.flatnonzero(self.bits[(words & np.uint64((1 << 22) - 1)).astype(np.int64)])
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.int16)
+        maybe = np.flatnonzero(self.bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if len(maybe):
-            asked = words[maybe]
-            at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
-            out[maybe] = np.where(self.words[at] == asked, self.logs[at], 0)
+            asked = hashes[maybe]
+            at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+            out[maybe] = np.where(self.hashes[at] == asked, self.numbers[at], 0)
         return out
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    space = np.concatenate([[True], _SPACE[raw], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _POWERS.to(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    return _mix((total[end] - total[start]) * down[start])
+class Table:
+    """Commonness of words (scaled logarithms of counts) and of frequent shingles (over PLAIN, by count)."""
 
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], frequent: tuple[np.ndarray, np.ndarray]):
+        self.words = _Lookup(words[0], np.round(np.log2(words[1].astype(float)) * SCALE))
+        steps = np.log2(frequent[1].astype(float) / FREQUENT)
+        self.frequent = _Lookup(frequent[0], np.minimum(PLAIN + 1 + steps * 1.25, 127).astype(np.int16))
 
-def shingles(text: str | None, words: int, table: Table | None = None) -> np.ndarray:
-    """Tokens of the distinct shingles of a text, ascending: rare ones first."""
-    word = word_hashes(text)
-    if not len(word):
-        return word
-    k = min(words, len(word))
+    def levels(self, word: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+        """Of shingles (hashes of HASH_BITS) of the words, one beginning at each word but the last."""
+        k = len(word) - len(shingle) + 1
+        total = np.concatenate([[0], np.cumsum(self.words.of(word), dtype=np.int64)])
+        plain = np.minimum(total[k:] - total[:-k], PLAIN)
+        return np.maximum(plain, self.frequent.of(shingle)).astype(np.uint64)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, one text after another, and the number of words of each text.
+
+    A word's bytes go through the mixer eight at a time, its length first.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    raw = b" ".join([*parts, bytes(8)])
+    n = len(raw) - 8
+    space = np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8, n)], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, left = edge[::2], edge[1::2] - edge[::2]
+    counts = np.bincount(np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right"), minlength=len(parts))
+    h = _mix(left.astype(np.uint64) * _ODD)
+    eight = np.ndarray((n + 1,), "<u8", raw, strides=(1,))
+    for i in np.flatnonzero(left > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + left[i]])
+    live = np.flatnonzero(left <= LONG)
+    at, left = start[live], left[live]
+    while len(live):
+        block = eight[at] & _MASK[np.minimum(left, 8)]
+        h[live] = _mix(h[live] + block * _ODD)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h, counts
+
+
+def _combined(word: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of HASH_BITS bits of each k consecutive words."""
     n = len(word) - k + 1
-    h = np.full(n, k, np.uint64)
-    for j in range(k):
+    h = np.full(max(n, 0), k, np.uint64)
+    for j in range(k if n > 0 else 0):
         h += word[j : n + j] * _PLACE[j]
-    h = _mix(h) >> np.uint64(64 - HASH_BITS)
-    if table is not None:
-        logs = np.concatenate([[0], np.cumsum(table.of(word))])
-        h |= np.minimum(logs[k:] - logs[:-k], 127).astype(np.uint64) << np.uint64(HASH_BITS)
-    return np.unique(h)
+    return _mix(h) >> np.uint64(64 - HASH_BITS)
+
+
+def shingle_lists(texts: list[str | None], words: int, table: Table | None = None) -> Iterator[np.ndarray]:
+    """Tokens of the distinct shingles of each text, ascending: rare ones first."""
+    for i, j in _groups(texts):
+        word, counts = word_hashes(texts[i:j])
+        token = _combined(word, words)
+        if table is not None and len(token):
+            token |= table.levels(word, token) << np.uint64(HASH_BITS)
+        first = 0
+        for n in counts.tolist():
+            if n >= words or not n:
+                yield np.unique(token[first : first + n - words + 1]) if n else np.empty(0, np.uint64)
+            else:
+                own = word[first : first + n]
+                one = _combined(own, n)
+                yield one if table is None else one | table.levels(own, one) << np.uint64(HASH_BITS)
+            first += n
+
+
+def shingles(text: str | None, words: int, table: Table | None = None) -> np.ndarray:
+    return next(shingle_lists([text], words, table))
+
+
+def _groups(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about `most` characters together."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def needed(n: int, percent: int) -> int:
@@ -132,62 +181,82 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _common(docs: DataFrame, text: str) -> Table:
-    """The words with the highest counts; the lowest binary order of counts that fits COMMON begins the table."""
+def _common(docs: DataFrame, words: int) -> Table:
+    """The words and the shingles with the highest counts; the lowest binary order of counts that fits COMMON begins each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        enter("jaccard")
+        held, size = ([], []), 0
 
         def close():
-            word, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            keep = n >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
+            found = [np.unique(np.concatenate([*x, np.empty(0, np.uint64)]), return_counts=True) for x in held]
+            kinds = np.repeat(np.arange(2, dtype=np.int8), [int((n >= REPORT).sum()) for _, n in found])
+            hashes, n = (np.concatenate([x[i][x[1] >= REPORT] for x in found]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(hashes.view(np.int64)), pa.array(n)], ["kind", "hash", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                held.append(word_hashes(t.as_py()))
-                size += len(held[-1])
+            texts = b.column(0).to_pylist()
+            for i, j in _groups(texts):
+                word, _ = word_hashes(texts[i:j])
+                held[0].append(word)
+                held[1].append(_combined(word, words))  # those across two texts are too rare to matter
+                size += len(word)
                 if size >= HELD:
                     yield close()
-                    held, size = [], 0
+                    held, size = ([], []), 0
         yield close()
 
     scratch = Scratch(docs.sparkSession, "words")
-    counts = scratch.save(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    per = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()}
-    least, total = 64, 0
-    for size in sorted(per, reverse=True):
-        total += per[size]
-        if total > COMMON:
-            break
-        least = size
-    found = counts.where(F.floor(F.log2("n")) >= least).toArrow()
+    counts = scratch.save(docs.select("text").mapInArrow(run, "kind tinyint, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(f"kind = 0 OR n >= {FREQUENT}"), "counts")
+    sizes = counts.groupBy("kind", F.floor(F.log2("n")).alias("size")).count().collect()
+    found = []
+    for kind in (0, 1):
+        per = {r[1]: r[2] for r in sizes if r[0] == kind}
+        least, total = 64, 0
+        for size in sorted(per, reverse=True):
+            total += per[size]
+            if total > COMMON:
+                break
+            least = size
+        got = counts.where((F.col("kind") == kind) & (F.floor(F.log2("n")) >= least)).select("hash", "n").toArrow()
+        found.append((got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()))
     scratch.drop(counts)
-    return Table(np.array(found["word"].to_pylist(), np.int64).view(np.uint64), np.array(found["n"].to_pylist(), np.int64))
+    return Table(*found)
 
 
-def _sets(docs: DataFrame, table: Table, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """key, n, sig, prefix, bits of each row; sig is the same for equal sets only."""
-    import xxhash
+def _sets(docs: DataFrame, table, words: int, percent: int) -> DataFrame:
+    """doc, n, sig, prefix, bits of each row; sig is the same for equal sets only.  table: a broadcast Table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for b in batches:
             n, sig, first, bits = [], [], [], []
-            for t in b.column(1):
-                s = shingles(t.as_py(), words, table)
+            for s in shingle_lists(b.column(1).to_pylist(), words, table.value):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bits.append(bitmap(s).tobytes() if len(s) else None)
                 first.append(s[: len(s) - needed(len(s), percent) + 1].view(np.int64) if len(s) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bits, pa.binary())], [key, "n", "sig", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc", "n", "sig", "prefix", "bits"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n long, sig binary, prefix array<long>, bits binary")
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """The hashes of tokens without their commonness, which only orders them, in as few bytes as they have."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n long, sig binary, prefix array<long>, bits binary")
+
+def unpack(raw: bytes) -> np.ndarray:
+    few = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BITS // 8)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, : HASH_BITS // 8] = few
+    return out.view("<u8").ravel()
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Two bits a token, to a power of two; a larger bitmap's halves joined are the smaller one's."""
-    words = max(1, 1 << (2 * len(tokens) - 1).bit_length() >> 6)
+    """A bit a token, to a power of two; a larger bitmap's halves joined are the smaller one's."""
+    words = max(1, 1 << (len(tokens) - 1).bit_length() >> 6)
     out = np.zeros(words, np.uint64)
     np.bitwise_or.at(out, (tokens >> np.uint64(6) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
     return out
@@ -330,6 +399,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the rows (block, class, part, id, known, home, tokens) of each block's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         now, ids, sets, known, home = None, [], [], [], []
 
         def close():
@@ -350,7 +420,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
                 ids.append(i)
                 known.append(group)
                 home.append(here)
-                sets.append(np.frombuffer(raw, np.uint64))
+                sets.append(unpack(raw))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
         if len(ids) > 1:
             found = close()
@@ -364,6 +434,7 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (block, class, part, parts, id) whose set can still be linked; blocks in several parts stay whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         now, held = None, []
 
         def close():
@@ -392,21 +463,33 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*keys, "parts", "id", "n", "bits").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "block long, class long, part int, parts int, id long")
 
 
-def _with_tokens(docs: DataFrame, members: DataFrame, table: Table, words: int, key: str, text: str) -> DataFrame:
+def _with_tokens(docs: DataFrame, members: DataFrame, table, words: int) -> DataFrame:
     """members (id, block, class, part, known, home) with the tokens of their documents."""
     per = members.groupBy("id").agg(F.collect_list(F.struct("block", "class", "part", "known", "home")).alias("to"))
-    small = per.count() <= SMALL
+    names = ["block", "class", "part", "id", "known", "home", "tokens"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
+        rows, size = [], 0
+
+        def batch():
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
         for b in batches:
-            for i, t, to in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                raw, to = shingles(t.as_py(), words, table).tobytes(), to.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["block"] for x in to]), pa.array([x["class"] for x in to]), pa.array([x["part"] for x in to], pa.int32()), pa.array([i.as_py()] * len(to)), pa.array([x["known"] for x in to]), pa.array([x["home"] for x in to], pa.bool_()), pa.array([raw] * len(to), pa.binary())],
-                    ["block", "class", "part", "id", "known", "home", "tokens"],
-                )
-
-    joined = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(per) if small else per, "id").select("id", "text", "to")
+            found = shingle_lists(b.column(1).to_pylist(), words, table.value)
+            for i, s, to in zip(b.column(0).to_pylist(), found, b.column(2), strict=True):
+                raw = pack(s)
+                for x in to.as_py():
+                    rows.append((x["block"], x["class"], x["part"], i, x["known"], x["home"], raw))
+                    size += len(raw) + 64
+                    if size >= 1 << 22:
+                        yield batch()
+                        rows, size = [], 0
+        yield batch()
+
+    joined = docs.select(F.col("doc").alias("id"), "text").join(small(per, F.size("to") * 48 + 8), "id").select("id", "text", "to")
     return joined.mapInArrow(run, "block long, class long, part int, id long, known long, home boolean, tokens binary")
 
 
@@ -431,7 +514,7 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
         state = found
 
 
-def _blocks(led: DataFrame) -> DataFrame:
+def _blocks(led: DataFrame, percent: int) -> DataFrame:
     """block, class, first, parts of the blocks to join, from (block, id, own), own being a set's size class.
 
     Class k holds the sets of own classes k and k - 1.  It is left out if it has none of k (k - 1 holds all of it), or if
@@ -444,33 +527,42 @@ def _blocks(led: DataFrame) -> DataFrame:
     held = near.where("below or not above").select(
         "block", F.col("own").alias("class"), F.expr("if(below, least(i, ib), i)").alias("first"), F.expr("c + if(below, cb, 0)").alias("count")
     )
-    return held.where("count > 1").select("block", "class", "first", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-
-
-def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id of every row; keys are whole numbers."""
-    common = _common(docs, text)
-    whole = scratch.save(_sets(docs, common, words, percent, key, text), "whole")
-    classes = whole.where("n > 0").groupBy("sig").agg(F.min(F.col(key).cast("long")).alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = scratch.save(classes, "classes")
-    sets = scratch.save(whole.select(key, "n", "sig"), "sets")
-    scratch.drop(whole)
-    postings = classes.select("id", "n", F.explode("prefix").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("id").alias("block"), F.count("*").alias("c")).where("c > 1").select("token", "block")
-    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n")
-    led = scratch.save(postings.join(leaders, "token").select("block", "id", size.alias("own")).distinct(), "led")
-    blocks = _blocks(led)
+    # A class tells how large its sets may be.
+    largest = F.pow(F.lit(100 / percent), F.col("class") + 1) if percent < 100 else F.col("class")
+    parts = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("count") * largest / TOKENS))
+    return held.where("count > 1").select("block", "class", "first", F.least(parts, F.col("count")).cast("int").alias("parts"))
+
+
+def _linked_rows(rows: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """doc, n_shingles, root of rows (doc, text): the smallest doc of each component."""
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
+    whole = scratch.save(_sets(rows, common, words, percent), "whole")
+    sets = scratch.save(whole.select("doc", "n", "sig"), "sets")
+    names = scratch.save(sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("id")), "names")
+    again = scratch.save(sets.where("n > 0").join(names, "sig").where("doc <> id").select("doc"), "again")
+    # One row a class: few rows go, so as long as these are small the sets stay where they are.
+    classes = whole.where("n > 0").join(small(again, 8), "doc", "left_anti").withColumnRenamed("doc", "id")
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    postings = classes.select("id", size.alias("own"), F.explode("prefix").alias("token"))
+    # Frequent shingles are known by their level and at most COMMON, so their leaders are broadcast; of any other few sets have each.
+    frequent = F.col("token") >= (PLAIN + 1) << HASH_BITS
+    many = postings.where(frequent).groupBy("token").agg(F.min("id").alias("block"), F.count("*").alias("c")).where("c > 1").select("token", "block")
+    one = Window.partitionBy("token")
+    few = postings.where(~frequent).select("id", "own", F.min("id").over(one).alias("block"), F.count("*").over(one).alias("c")).where("c > 1")
+    found = few.select("block", "id", "own").union(postings.where(frequent).join(F.broadcast(many), "token").select("block", "id", "own"))
+    led = scratch.save(found.select("block", "id", F.col("own").cast("long").alias("own")).distinct(), "led")
+    blocks = _blocks(led, percent)
     members = led.select("block", "id", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("class"))
     # The first set of a block is in every part of it.
     every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = members.join(blocks, ["block", "class"]).select("block", "class", "id", "parts", F.explode(F.when(F.col("id") == F.col("first"), every).otherwise(one)).alias("part"))
     dealt = scratch.save(_live(dealt.join(classes.select("id", "n", "bits"), "id"), percent), "dealt")
-    names = scratch.save(classes.select("sig", "id"), "names")
-    scratch.drop(classes)
+    scratch.drop(whole, led, again)
     apart = F.lit(None).cast("boolean")
-    links = scratch.save(_joined(_with_tokens(docs, dealt.select("block", "class", "id", "part", F.col("id").alias("known"), apart.alias("home")), common, words, key, text), percent), "links")
+    links = scratch.save(_joined(_with_tokens(rows, dealt.select("block", "class", "id", "part", F.col("id").alias("known"), apart.alias("home")), common, words), percent), "links")
     roots = scratch.save(connected(links, scratch), "roots")
     large = scratch.save(dealt.where("parts > 1"), "split")
+    scratch.drop(dealt)
     if large.count():
         named = large.join(roots, "id", "left").select("block", "class", "id", "parts", "part", F.coalesce("root", "id").alias("known"))
         lead = named.groupBy("block", "class").agg(F.min_by("known", "id").alias("lead"))
@@ -479,8 +571,41 @@ def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int =
             here = named.join(stray.select("block", "class").distinct(), ["block", "class"], "left_semi").withColumn("home", F.lit(True))
             away = stray.withColumn("to", F.explode(every)).where("to <> part").withColumn("part", F.col("to")).withColumn("home", F.lit(False))
             again = here.unionByName(away.drop("to"))
-            more = _joined(_with_tokens(docs, again, common, words, key, text), percent)
+            more = _joined(_with_tokens(rows, again, common, words), percent)
             links = scratch.save(links.union(more), "links-again")
             roots = scratch.save(connected(links, scratch), "roots-again")
-    named = names.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("component_id"))
-    return sets.select(key, F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left").select(key, "n_shingles", F.coalesce("component_id", F.col(key).cast("long")).alias("component_id"))
+    common.unpersist()
+    scratch.keep_only(sets, names, roots, *([rows] if _written(rows) else []))
+    named = names.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("root"))
+    return sets.join(named, "sig", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("root"))
+
+
+def _written(rows: DataFrame) -> bool:
+    """Whether rows have numbers of their own, other than the keys."""
+    return hasattr(rows, "_tessera_path")
+
+
+def _numbered(docs: DataFrame, scratch: Scratch, key: str, text: str, *more) -> DataFrame:
+    pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *more), scratch, pieces)
+
+
+def components(docs: DataFrame, scratch: Scratch, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id of every row."""
+    rows = _numbered(docs, scratch, key, text)
+    out = _linked_rows(rows, scratch, words, percent)
+    if not _written(rows):
+        kind = docs.schema[key].dataType
+        return out.select(F.col("doc").cast(kind).alias(key), "n_shingles", F.col("root").cast(kind).alias("component_id"))
+    out = out.join(rows.select("doc", F.col("key").alias(key)), "doc")
+    least = out.groupBy("root").agg(F.min(key).alias("component_id"))
+    return out.join(least, "root").select(key, "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest key (of equal ones, the first by text)."""
+    rows = _numbered(docs, scratch, key, text, F.struct(*docs.columns).alias("row"))
+    # Only rows that are not their group's first travel; rows without shingles are their own group.
+    gone = scratch.save(_linked_rows(rows, scratch, words, percent).where("root <> doc").select("doc"), "gone")
+    scratch.keep_only(gone, *([rows] if _written(rows) else []))
+    return rows.join(gone, "doc", "left_anti").select("row.*")

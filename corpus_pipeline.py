@@ -1,4 +1,10 @@
-"""Corpus pipeline: five stages, each over all that the one before it kept.  Part of the training-data operators."""
+"""Corpus pipeline: five stages, each over all that the one before it kept.  Part of the training-data operators.
+
+Edge cases, in any stage: a null or empty text, or one without a letter, goes in the first; a document whose key is null
+or repeats is judged by its own text, like any other; of equal rows one stays after the second; nulls in other columns
+pass through; texts of any length are read whole; an empty table gives an empty result; among near copies the smallest
+key stays, of equal keys the text that sorts first.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +19,12 @@ from tessera.llm.common import Scratch, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text shows a language; texts that are null, have no letter or bear no evidence go."""
-    model = langid.fit(docs.where(~langid.is_held_out()))
-    return langid.predict(docs, model, lang="_found", score="_score").where((F.col("_found") != langid.UND) & (F.col("_score") > 0)).drop("_found", "_score")
+    return langid.shows(docs, langid.fit(docs.where(~langid.is_held_out())))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    scratch = Scratch(spark, "near")
-    groups = jaccard.components(docs.select("doc_id", "text"), scratch, words=5, percent=80)
-    # Only rows that are not their group's representative travel; rows without shingles are their own group.
-    gone = scratch.keep_only(scratch.save(groups.where("component_id <> doc_id").select("doc_id"), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.keep_first(docs, Scratch(spark, "near"), words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.keep_only(scratch.save(stage(spark, docs, sf_dir), name))
     return docs

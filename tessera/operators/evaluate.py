@@ -33,9 +33,10 @@ def grid(scored: DataFrame, truth: DataFrame, entities: DataFrame, links: list[f
     Candidates of an entity are one array in order of probability, so each combination is array work on one row per
     entity, and no pair is multiplied.  The table of combinations is as large as the lists make it.
     """
-    spark = scored.sparkSession
-    rows = [(v, float(s), float(li), float(m), int(c)) for v, (s, li, m, c) in enumerate((s, li, m, c) for s in singletons for li in links for m in margins for c in caps)]
-    params = spark.createDataFrame(rows, "visit int, singleton double, link double, margin double, cap int")
+    params = scored.sparkSession.range(1).select(F.lit(0).alias("visit"))
+    for name, values, kind in (("singleton", singletons, "double"), ("link", links, "double"), ("margin", margins, "double"), ("cap", caps, "int")):
+        each = params.select("*", F.posexplode(F.array(*[F.lit(v).cast(kind) for v in values])).alias("_at", name))
+        params = each.withColumn("visit", F.col("visit") * len(values) + F.col("_at")).drop("_at")
     marked = scored.join(truth.select("s1_id", "target_id", F.lit(1).alias("t")), ["s1_id", "target_id"], "left")
     order = F.array_sort(F.collect_list(F.struct((-F.col("prob")).alias("n"), "rank", F.coalesce("t", F.lit(0)).alias("t"), (F.col("is_missing") if missing_quota is not None else F.lit(0)).alias("m"))))
     lists = marked.groupBy("s1_id").agg(order.alias("c"))

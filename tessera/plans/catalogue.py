@@ -281,7 +281,14 @@ def levenshtein_and_jaro(spark, d):
     return _name_pairs(spark, d).select("p_partkey", F.round(fuzzy.levenshtein_norm(a, b), 6).alias("lev"), F.round(fuzzy.similarities(a, b, "jw")["jw"], 6).alias("jw"))
 
 
-@query()
+_PARTS = V.set_parts("a", "b")
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, fz AS (SELECT p_partkey, {V.sorted_words("a")} AS sa, {V.sorted_words("b")} AS sb, {_PARTS[0]} AS shared, {_PARTS[1]} AS l, {_PARTS[2]} AS r FROM pr),
+{V.subsequences("SELECT sa AS a, sb AS b FROM fz UNION ALL SELECT l, r FROM fz")}
+SELECT p_partkey, round({V.ratio("sa", "sb", "m.l")}, 6) AS sort, round({V.set_ratio("shared", "fz.l", "r", "n.l")}, 6) AS "set" FROM fz LEFT JOIN lcs m ON m.a = sa AND m.b = sb LEFT JOIN lcs n ON n.a = fz.l AND n.b = r"""
+)
 def token_ratios(spark, d):
     s = fuzzy.similarities(F.col("a"), F.col("b"), "sort", "set")
     return _name_pairs(spark, d).select("p_partkey", F.round(s["sort"], 6).alias("sort"), F.round(s["set"], 6).alias("set"))
@@ -305,12 +312,10 @@ def address_pair_features(spark, d):
 
 
 _EXC = "len(list_filter({a}, t -> NOT list_contains({b}, t)))"
-#: What the token ratios enter into has no SQL: neither engine knows the longest common subsequence.
-_FUZZY = ("name_token_sort_ratio", "name_token_set_ratio", "addr_token_sort_ratio", "addr_token_set_ratio")
 
 
 def _feature_sql(version: str) -> str:
-    """The native features of a version, column by column."""
+    """The features of a version, column by column."""
     flag = lambda x: f"CASE WHEN {x} THEN 1::DOUBLE ELSE 0::DOUBLE END"
     blank = "(ca = '' OR ta = '')"
     jw = lambda a, b: f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE jaro_winkler_similarity({a}, {b}) END"
@@ -319,9 +324,12 @@ def _feature_sql(version: str) -> str:
     named = version in ("v16", "v18_train")
     label = lambda s, n: f"CASE WHEN {s} <> '' THEN {s} ELSE {bare(n) if named else chr(39) * 2} END"
     sa, sb = label("sd", "cn"), label("td", "tn")
+    on_address = lambda x: f"CASE WHEN {blank} THEN 0 ELSE {x} END" if named else x
     columns = {
+        "name_token_sort_ratio": V.ratio("nsa", "nsb", "n1.l"), "name_token_set_ratio": V.set_ratio("nb", "nl", "nr", "n2.l"),
+        "addr_token_sort_ratio": on_address(V.ratio("asa", "asb", "a1.l")), "addr_token_set_ratio": on_address(V.set_ratio("ab", "al", "ar", "a2.l")),
         "name_jaro_winkler": jw("cn", "tn"), "name_levenshtein_norm": "CASE WHEN greatest(length(cn), length(tn)) = 0 THEN 1 ELSE 1 - levenshtein(cn, tn) / greatest(length(cn), length(tn)) END",
-        "addr_jaro_winkler": f"CASE WHEN {blank} THEN 0 ELSE {jw('ca', 'ta')} END" if named else jw("ca", "ta"),
+        "addr_jaro_winkler": on_address(jw("ca", "ta")),
         "numeric_token_overlap": "CASE WHEN len(an) = 0 OR len(bn) = 0 THEN 0 ELSE len(list_intersect(an, bn)) / len(list_distinct(list_concat(an, bn))) END",
         "postal_pin_exact_match": flag("list_has_any(ap, bp)"), "numeric_pincode_match": flag("list_has_any(ac, bc)"),
         "domain_match": flag(f"(sd <> '' OR td <> '') AND {sa} <> '' AND {sa} = {sb}"), "script_mismatch": flag("rn <> '' AND rt <> '' AND (strlen(rn) <> length(rn)) <> (strlen(rt) <> length(rt))"),
@@ -334,6 +342,7 @@ def _feature_sql(version: str) -> str:
         stop = V.STOP_FORMS if version == "v18_batch" else V.STOP
         x, y = (f"len(list_filter({p}, t -> NOT list_contains({q}, t) AND NOT list_contains({stop}, t)))" for p, q in (("aw", "bw"), ("bw", "aw")))
         if version == "v18_train":
+            columns["door_conflict"] = flag(f"coalesce(sn <> tnr AND {V.ratio('asa', 'asb', 'a1.l')} >= 0.70, false)")
             columns["extra_words"] = f"CAST({_EXC.format(a='bw', b='aw')} AS DOUBLE)"
         else:
             columns["door_conflict"] = flag("coalesce(sn <> tnr AND abs(sn - tnr) > 1 AND NOT starts_with(CAST(sn AS VARCHAR), CAST(tnr AS VARCHAR)) AND NOT starts_with(CAST(tnr AS VARCHAR), CAST(sn AS VARCHAR)), false)")
@@ -346,7 +355,11 @@ def _feature_sql(version: str) -> str:
 
     mine, theirs = side("a", "cn", "ca", "rn", "sd", "an", "ap", "ac", "ss", "sn", "aw"), side("t", "tn", "ta", "rt", "td", "bn", "bp", "bc", "ts", "tnr", "bw")
     rounded = ", ".join(f"round({e}, 6) AS {n}" for n, e in columns.items())
-    return f"WITH {V.CHAR_STAGE}, pw AS (SELECT c.s1_id, c.target_id, c.rank, t.miss AS tm, {mine}, {theirs} FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id) SELECT s1_id, target_id, {rounded} FROM pw"
+    names, addresses = V.set_parts("cn", "tn"), V.set_parts("ca", "ta")
+    return f"""WITH RECURSIVE {V.CHAR_STAGE}, pw AS (SELECT c.s1_id, c.target_id, c.rank, t.miss AS tm, {mine}, {theirs} FROM cand c JOIN pre a ON a.entity_id = c.s1_id JOIN pre t ON t.entity_id = c.target_id),
+fz AS (SELECT *, {V.sorted_words("cn")} AS nsa, {V.sorted_words("tn")} AS nsb, {names[0]} AS nb, {names[1]} AS nl, {names[2]} AS nr, {V.sorted_words("ca")} AS asa, {V.sorted_words("ta")} AS asb, {addresses[0]} AS ab, {addresses[1]} AS al, {addresses[2]} AS ar FROM pw),
+{V.subsequences("SELECT nsa AS a, nsb AS b FROM fz UNION ALL SELECT nl, nr FROM fz UNION ALL SELECT asa, asb FROM fz UNION ALL SELECT al, ar FROM fz")}
+SELECT s1_id, target_id, {rounded} FROM fz LEFT JOIN lcs n1 ON n1.a = nsa AND n1.b = nsb LEFT JOIN lcs n2 ON n2.a = nl AND n2.b = nr LEFT JOIN lcs a1 ON a1.a = asa AND a1.b = asb LEFT JOIN lcs a2 ON a2.a = al AND a2.b = ar"""
 
 
 def _pairs_of(spark, d, version):
@@ -354,20 +367,17 @@ def _pairs_of(spark, d, version):
     return features.pair_features(V.candidates(spark, d), e.where("bucket = 1"), e.where("bucket > 1"), version)
 
 
-def _features(version: str, native: bool):
-    without = {*_FUZZY, *(["door_conflict"] if version == "v18_train" else [])} if native else set()
-
+def _features(version: str):
     def run(spark, d):
-        columns = [c for c in (features.V16 if version == "v16" else features.V18) if c not in without]
+        columns = features.V16 if version == "v16" else features.V18
         return _pairs_of(spark, d, version).select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns])
 
-    run.__name__ = f"native_features_{version}" if native else f"feature_vector_{version}"
+    run.__name__ = f"feature_vector_{version}"
     return run
 
 
 for _version in ("v16", "v18_train", "v18_tolerant", "v18_batch"):
-    query()(_features(_version, False))
-    query(_feature_sql(_version))(_features(_version, True))
+    query(_feature_sql(_version))(_features(_version))
 
 
 @query(f"WITH {V.CHAR_STAGE}, raw AS (SELECT s1_id, target_id, rank FROM cand UNION ALL SELECT s1_id, 'S9-' || target_id, rank FROM cand) SELECT s1_id, target_id, rank FROM raw WHERE target_id IN (SELECT entity_id FROM ent WHERE b > 1)")

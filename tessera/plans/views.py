@@ -178,6 +178,36 @@ def words(x: str) -> str:
     return f"list_filter(list_distinct(string_split({x}, ' ')), t -> t <> '')"
 
 
+def sorted_words(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), t -> t <> '')), ' ')"
+
+
+def set_parts(a: str, b: str) -> tuple[str, str, str]:
+    """Words of both, of the first alone and of the second alone, sorted, as strings."""
+    x, y = words(a), words(b)
+    only = lambda p, q: f"array_to_string(list_sort(list_filter({p}, t -> NOT list_contains({q}, t))), ' ')"
+    return f"array_to_string(list_sort(list_intersect({x}, {y})), ' ')", only(x, y), only(y, x)
+
+
+def subsequences(pairs: str) -> str:
+    """CTEs that end in lcs(a, b, l): the longest common subsequence of each pair (a, b), rows of its table as bits of a number."""
+    hit = "(row & list_sum(list_transform(range(length(a)), j -> CASE WHEN a[j + 1] = b[i + 1] THEN 1::HUGEINT << CAST(j AS INT) ELSE 0::HUGEINT END))::HUGEINT)"
+    return f"""prs AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE length(a) > 0),
+stp AS (SELECT a, b, 0 AS i, (1::HUGEINT << length(a)) - 1 AS row FROM prs
+ UNION ALL SELECT a, b, i + 1, ((row + h) | (row - h)) & ((1::HUGEINT << length(a)) - 1) FROM (SELECT *, {hit} AS h FROM stp WHERE i < length(b))),
+lcs AS (SELECT a, b, length(a) - bit_count(row) AS l FROM stp WHERE i = length(b))"""
+
+
+def ratio(a: str, b: str, l: str) -> str:  # noqa: E741
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1 ELSE 2 * coalesce({l}, 0) / (length({a}) + length({b})) END"
+
+
+def set_ratio(both: str, left: str, right: str, l: str) -> str:  # noqa: E741
+    n, one, two = f"length({both})", f"(length({both}) + 1 + length({left}))", f"(length({both}) + 1 + length({right}))"
+    return f"""CASE WHEN {n} + length({left}) = 0 OR {n} + length({right}) = 0 THEN 0 WHEN {n} > 0 AND (length({left}) = 0 OR length({right}) = 0) THEN 1 WHEN {n} = 0 THEN {ratio(left, right, l)}
+ ELSE greatest(2 * ({n} + 1 + coalesce({l}, 0)) / ({one} + {two}), 2 * {n} / ({n} + {one}), 2 * {n} / ({n} + {two})) END"""
+
+
 ENTITIES = """ent AS (SELECT 'S' || b || '-' || page_id AS entity_id, * FROM (SELECT page_id, CASE WHEN ends_with(host, '.com') THEN 1 WHEN ends_with(host, '.net') THEN 2 ELSE 3 END AS b, country, name, addr
  FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS country, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS name,
  CASE WHEN contains(url, 'ads-track') THEN '' ELSE url END AS addr FROM pages)))"""

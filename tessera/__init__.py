@@ -20,10 +20,11 @@ from tessera.operators.model import PRESETS, challenge, score, train, train_or_l
 from tessera.operators.retrieval import candidates, hard_negatives, recall_report
 from tessera.operators.validate import check
 from tessera.plans.link import link, sample, train_on
+from tessera.sources.archive import bundle
 from tessera.sources.linkage import read_lists, read_records, run_in_buckets, write_lists, write_sample
 
 __all__ = [
-    "PRESETS", "V16", "V18", "blend_loaded", "candidates", "challenge", "check", "clean_address", "clean_name", "decide", "domain_match", "domain_stem", "grid", "hard_negatives", "link", "macro", "match_band",
+    "PRESETS", "V16", "V18", "blend_loaded", "bundle", "candidates", "challenge", "check", "clean_address", "clean_name", "decide", "domain_match", "domain_stem", "grid", "hard_negatives", "link", "macro", "match_band",
     "normalize_records", "normalize_text", "numeric_tokens", "pair_features", "pin_premise_tokens", "pin_tokens", "premise_tokens", "preprocess", "read_lists", "read_records", "recall_report", "run_in_buckets",
     "sample", "score", "script_mismatch", "strip_legal_forms", "train", "train_on", "train_or_load", "write_lists", "write_sample",
 ]

@@ -1,4 +1,4 @@
-"""Command line: link, sample, check.  Exit status 1 if a check finds errors."""
+"""Command line: link, sample, check, bundle.  Exit status 1 if a check finds errors."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from tessera.operators import validate
 from tessera.plans import link as plans
-from tessera.sources import linkage
+from tessera.sources import archive, linkage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,6 +36,10 @@ def parser() -> argparse.ArgumentParser:
     look.add_argument("--candidates")
     look.add_argument("--s1", required=True)
     look.add_argument("--targets", nargs="*", help="also look for ids that none of these files has")
+    pack = kinds.add_parser("bundle", help="a zip of result files and a code folder")
+    pack.add_argument("--out", required=True)
+    pack.add_argument("--files", nargs="+", required=True)
+    pack.add_argument("--code", required=True)
     return out
 
 
@@ -52,6 +56,9 @@ def say(found: validate.Result) -> int:
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
+    if a.kind == "bundle":
+        print(f"{len(archive.bundle(a.out, a.files, a.code))} members")
+        return 0
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     if a.kind == "sample":
         sizes = {c: int(n) for c, n in (x.split("=") for x in a.per_country)}

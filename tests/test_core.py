@@ -295,6 +295,19 @@ def test_end_to_end(spark, tmp_path):
     assert parser().parse_args(["link", *[x for n in ("s1", "s2", "s3", "matches", "candidates", "model") for x in (f"--{n}", "x")]]).top_k == 20
 
 
+def test_bundle(tmp_path):
+    import zipfile
+
+    for name in ("a.tsv", "code/x.py", "code/sub/y.py", "code/__pycache__/x.cpython.pyc", "code/.git/z", "code/z.pyc", "code/.hidden"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    out = str(tmp_path / "out.zip")
+    assert main(["bundle", "--out", out, "--files", str(tmp_path / "a.tsv"), "--code", str(tmp_path / "code")]) == 0
+    assert sorted(zipfile.ZipFile(out).namelist()) == ["a.tsv", "code/sub/y.py", "code/x.py"]
+    with pytest.raises(FileNotFoundError, match="none"):
+        tessera.bundle(out, [str(tmp_path / "none.tsv")], str(tmp_path / "code"))
+
+
 def test_names_of_the_package():
     assert all(hasattr(tessera, n) for n in tessera.__all__)
 

@@ -5,25 +5,30 @@ word packs; selector 15 is an escape whose payload is a row of the segment's tab
 packed greedily, never across a block of BLOCK ids, and the segment stores the word at which each block begins, so that
 a reader decodes any block alone and all blocks of a segment at once with array operations.
 
-Segment layout (little-endian): magic, n_docs, n_ids, n_words, n_escapes, n_blocks as 6 x u64; then document keys
-(i64), id offsets of documents (u64, n_docs + 1), word offsets of blocks (u64, n_blocks + 1), escapes (u64), words (u64).
+Segment layout (little-endian): magic, n_docs, n_ids, n_words, n_escapes, n_blocks, key bytes as 7 x u64; then id offsets
+of documents (u64, n_docs + 1), word offsets of blocks (u64, n_blocks + 1), escapes (u64), words (u64), and the documents'
+keys as an Arrow stream of one column, so that they keep their type and nulls.
 
 Segments are rows (part, seq, rel_start, n_ids, payload) of a table: Spark's writer commits them, so a lost executor's
 half-written file is never read.  Parts ascend with the document key; rel_start counts from the part's first id.  A
 segment closes at the first document end past SEGMENT ids, so its size is bounded by that and one document.
 
+Encoding: the ranks of the tokenizer's merges, by the byte-pair routine of tiktoken.  A text takes the library itself if
+it holds an added token's string, a character outside PLAIN (classes of the others are the same in both), or a stretch of
+over LONG bytes without or of white space only; so does every text if the vocabulary is not one of ranks.
+
 Edge cases: null texts are empty documents, which still hold the end id; equal keys keep an order fixed by their text;
-null keys come first; an empty table gives an empty file.
+null keys come first; an empty table gives an empty file; texts of any length are encoded whole; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["pack", "read_segments", "unpack", "write_segments", "write_table", "read_table"]
+from tessera.llm.bpe import byte_alphabet
+from tessera.llm.common import held
+
+__all__ = ["Segment", "encoder", "pack", "read_segments", "read_table", "unpack", "write_segments", "write_table"]
 
 #: Ids of a word and bits of each, by selector (fixed values of the Simple-8b format).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
@@ -40,11 +48,14 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30])
 ESCAPE = 15
 SELECTOR = np.full(256, ESCAPE, np.uint8)
 SELECTOR[COUNTS] = np.arange(len(COUNTS))
-MAGIC = 0x3142385345544F4B
+MAGIC = 0x3242385345544F4B
 BLOCK = 8192
 SEGMENT = 1 << 18
-#: Chunks whose ids a worker keeps.
-KNOWN = 700_000
+#: Latin, Greek, Cyrillic, general punctuation, kana, common ideographs, hangul.
+ODD = re.compile("[^\x00-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+LONG = 1000
+#: How a byte-level vocabulary parts a text (a fixed value of the public format).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -126,104 +137,142 @@ def unpack(words: np.ndarray, blocks: np.ndarray, escapes: np.ndarray, n: int) -
     return out
 
 
-def to_segment(keys: list[int], ids: list[np.ndarray]) -> bytes:
+def to_segment(keys: pa.Array, ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.uint64)
     words, blocks, escapes = pack(flat)
-    head = np.array([MAGIC, len(keys), len(flat), len(words), len(escapes), len(blocks) - 1], np.uint64)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as stream:
+        stream.write_batch(pa.record_batch([keys], ["key"]))
+    named = sink.getvalue().to_pybytes()
+    head = np.array([MAGIC, len(keys), len(flat), len(words), len(escapes), len(blocks) - 1, len(named)], np.uint64)
     offsets = np.cumsum([0, *map(len, ids)]).astype(np.uint64)
-    return b"".join(x.tobytes() for x in (head, np.array(keys, np.int64), offsets, blocks, escapes, words))
-
-
-def from_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document keys, id offsets, ids."""
-    a = np.frombuffer(raw, np.uint64)
-    magic, docs, n, n_words, n_escapes, n_blocks = map(int, a[:6])
-    if magic != MAGIC:
-        raise ValueError("not a token segment")
-    cut = np.cumsum([6, docs, docs + 1, n_blocks + 1, n_escapes, n_words])
-    keys, offsets, blocks, escapes, words = (a[i:j] for i, j in zip(cut, cut[1:], strict=False))
-    return keys.view(np.int64), offsets.astype(np.int64), unpack(words, blocks, escapes, n)
-
-
-@lru_cache(maxsize=2)
-def _chunked(path: str):
-    """Text to bytes of ids: the library encodes each chunk of a word and its white space once, a cache keeps it.
-
-    The pattern of this vocabulary never joins what these chunks separate, so their ids follow one another unchanged.
-    """
+    return b"".join([*(x.tobytes() for x in (head, offsets, blocks, escapes, words)), named])
+
+
+class Segment:
+    """A segment's parts; ids are unpacked only as they are asked for."""
+
+    def __init__(self, raw: bytes):
+        magic, docs, self.n_ids, n_words, n_escapes, n_blocks, named = map(int, np.frombuffer(raw, np.uint64, 7))
+        if magic != MAGIC:
+            raise ValueError("not a token segment")
+        cut = np.cumsum([7, docs + 1, n_blocks + 1, n_escapes, n_words]).tolist()
+        a = np.frombuffer(raw, np.uint64, cut[-1])
+        self.offsets, self.blocks, self.escapes, self.words = (a[i:j] for i, j in zip(cut, cut[1:], strict=False))
+        self._named = pa.py_buffer(raw).slice(8 * cut[-1], named)
+
+    def keys(self) -> pa.Array:
+        return pa.ipc.open_stream(self._named).read_all().column(0).combine_chunks()
+
+    def ids(self) -> np.ndarray:
+        return unpack(self.words, self.blocks, self.escapes, self.n_ids)
+
+    def block(self, i: int) -> np.ndarray:
+        """Ids of one block, from its words alone."""
+        a, z = map(int, self.blocks[i : i + 2])
+        return unpack(self.words[a:z], np.array([0, z - a], np.uint64), self.escapes, min(BLOCK, self.n_ids - i * BLOCK))
+
+    def document(self, i: int) -> np.ndarray:
+        """Ids of one document, from the blocks that hold it."""
+        a, z = map(int, self.offsets[i : i + 2])
+        if a == z:
+            return np.empty(0, np.uint64)
+        first = a // BLOCK
+        return np.concatenate([self.block(b) for b in range(first, (z - 1) // BLOCK + 1)])[a - first * BLOCK : z - first * BLOCK]
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each token, if ids follow the order of merges; a merged token then tells its merge."""
+    model = spec["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or spec["normalizer"]:
+        return None
+    before = spec["pre_tokenizer"] or {}
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    merged = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    special = {a["content"] for a in spec["added_tokens"]}
+    if ids != sorted(set(ids)) or len(ids) + 256 != len(model["vocab"].keys() - special):
+        return None
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    return {bytes(back[c] for c in s): i for s, i in model["vocab"].items() if s not in special}
+
+
+def _simple(text: str) -> bool:
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        if ODD.search(text):
+            return False
+        raw = text.encode()
+    if len(raw) <= LONG:
+        return True
+    blank = np.frombuffer(raw, np.uint8) <= 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    return len(edge) > 0 and int(max(edge[0], len(raw) - edge[-1], np.diff(edge).max(initial=0))) <= LONG
+
+
+def _encoder(path: str) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
-    from tessera.llm.bpe import chunker
-
     lib = Tokenizer.from_file(path)
     lib.no_truncation()
     lib.no_padding()
-    chunk = chunker(spaced=True)
     marks = [x.content for x in lib.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
-
-    def run(texts: list[str]) -> list[bytes]:
-        nonlocal known
-        # A mark splits the text before its pattern does.
-        lists = [None if any(m in t for m in marks) else chunk(t) for t in texts]
-        need = set(chain.from_iterable(filter(None, lists)))
-        if len(known) + len(need) > KNOWN:
-            known = {c: known[c] for c in need if c in known}
-        new = [c for c in need if c not in known]
-        known.update(zip(new, (array("I", e.ids).tobytes() for e in lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, lists, strict=True)]
+    with open(path, encoding="utf-8") as f:
+        ranks = _ranks(json.load(f))
+    fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def run(text: str) -> bytes:
+        if fast and not any(m in text for m in marks) and _simple(text):
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return run
 
 
-def groups(keys: Iterator, texts: Iterator, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Neighbouring texts of about `most` characters together, so that memory doesn't follow the batch."""
-    k, t, held = [], [], 0
-    for key, text in zip(keys, texts, strict=True):
-        k.append(key.as_py())
-        t.append(text.as_py() or "")
-        held += len(t[-1])
-        if held >= most:
-            yield k, t
-            k, t, held = [], [], 0
-    if k:
-        yield k, t
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Text to bytes of ids, as the tokenizers library gives them."""
+    return held("token_codec", path, lambda: _encoder(path))
 
 
 def write_segments(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (part, seq, rel_start, n_ids, payload) in ascending order of key; lazily, for a writer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _chunked(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(path), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        seq, start, held, keys, ids = 0, 0, 0, [], []
+        seq, start, size, keys, ids = 0, 0, 0, [], []
 
         def close():
-            nonlocal seq, start, held, keys, ids
-            row = [[part], [seq], [start], [held], [to_segment(keys, ids)]]
+            nonlocal seq, start, size, keys, ids
+            row = [[part], [seq], [start], [size], [to_segment(pa.concat_arrays(keys), ids)]]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "seq", "rel_start", "n_ids", "payload"])
-            seq, start, held, keys, ids = seq + 1, start + held, 0, [], []
+            seq, start, size, keys, ids = seq + 1, start + size, 0, [], []
             return out
 
         for b in batches:
-            for some, texts in groups(b.column(0), b.column(1)):
-                for k, raw in zip(some, ids_of(texts), strict=True):
-                    keys.append(np.iinfo(np.int64).min if k is None else k)
-                    ids.append(np.frombuffer(raw + end, "<u4"))
-                    held += len(ids[-1])
-                    if held >= SEGMENT:
-                        yield close()
-        if keys:
+            first = 0
+            for i, t in enumerate(b.column(1)):
+                ids.append(np.frombuffer(ids_of(t.as_py() or "") + end, "<u4"))
+                size += len(ids[-1])
+                if size >= SEGMENT:
+                    keys.append(b.column(0).slice(first, i + 1 - first))
+                    first = i + 1
+                    yield close()
+            keys.append(b.column(0).slice(first))
+        if ids:
             yield close()
 
-    ordered = df.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
+    ordered = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     return ordered.mapInArrow(run, "part int, seq long, rel_start long, n_ids long, payload binary")
 
 
-def read_segments(segments: DataFrame, row, fields: str, names: list[str]) -> DataFrame:
-    """One row per document: row(key, start, ids) gives its values.
+def read_segments(segments: DataFrame, row, fields: str, names: list[str], key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """key and what row(start, ids) gives (fields, names), for each document; kind is the type of the keys.
 
     Starts: the sums of earlier parts, broadcast.  Its size is proven: a row per partition of the writing job.
     """
@@ -234,21 +283,22 @@ def read_segments(segments: DataFrame, row, fields: str, names: list[str]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, raw in zip(b.column(0), b.column(1), strict=True):
-                keys, offsets, ids = from_segment(raw.as_py())
-                rows = [row(int(k), start.as_py() + int(i), ids[i:j]) for k, i, j in zip(keys, offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], names)
+                one = Segment(raw.as_py())
+                offsets, ids = one.offsets.astype(np.int64).tolist(), one.ids()
+                rows = [row(start.as_py() + i, ids[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([one.keys(), *(pa.array(v) for v in zip(*rows, strict=True))], [key, *names])
 
-    return placed.mapInArrow(run, fields)
+    return placed.mapInArrow(run, f"{key} {kind}, {fields}")
 
 
-def write_table(df: DataFrame, at: str, path: str, end_id: int) -> None:
-    write_segments(df, path, end_id).write.parquet(at)
+def write_table(df: DataFrame, at: str, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
+    write_segments(df, path, end_id, key, text).write.parquet(at)
 
 
-def read_table(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document."""
+def read_table(segments: DataFrame, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """key, start, n_tokens, ids_crc32 of each document."""
 
-    def row(k: int, start: int, ids: np.ndarray):
-        return (None if k == np.iinfo(np.int64).min else k, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+    def row(start: int, ids: np.ndarray):
+        return start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
-    return read_segments(segments, row, "doc_id long, start long, n_tokens long, ids_crc32 long", ["doc_id", "start", "n_tokens", "ids_crc32"])
+    return read_segments(segments, row, "start long, n_tokens long, ids_crc32 long", ["start", "n_tokens", "ids_crc32"], key, kind)

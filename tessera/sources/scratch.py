@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 __all__ = ["Scratch", "hadoop", "replace", "shared_dir"]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def hadoop(spark: SparkSession, path: str):
     """The path and its file system, as Hadoop's objects."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,15 +53,20 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
-        df.write.parquet(at)
-        self.release()
+        # The write's own shuffle files go with it.
+        old = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, old)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tessera_path = at
         self._saved.append(out)
         return out
 
     def release(self) -> None:
-        """Let go of shuffle files that no frame needs any more: Spark deletes them once the driver's garbage is gone."""
+        """Let go of what counts and the like have shuffled: Spark deletes that once the driver's garbage is gone."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -4,8 +4,9 @@ The index is a table of postings (term, document, position) of all documents for
 benchmark, each written segment sorted by term, and a posting END at each document's word count.  A test window's
 terms are ranked by the index's counts; the postings of its two rarest, moved back by their offsets in the window, are
 intersected on (document, start); what is left is intersected with the postings of its other terms.  Starts found for
-all offsets are exact phrase matches.  `near` lets each term lie some words from its place instead, the places counted
-from an occurrence of the rarest; one occurrence may serve equal terms.
+all offsets are exact phrase matches (`matches`).  `near` lets each term lie some words from its place instead, the places
+counted from an occurrence of the rarest; one occurrence may serve equal terms.  Those that are off by nothing are the exact
+matches, so the report takes both from it.
 
 Test tables are broadcast only while they take BROADCAST bytes at most (they are measured first); beyond it the same joins
 shuffle.
@@ -145,19 +146,21 @@ def near(index: Index, tests: Tests, scratch: Scratch, slop: int = 3) -> DataFra
     return whole.select("doc", "wid", "start", F.greatest("off_by", F.coalesce("by", F.lit(0))).alias("off_by"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+def report(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, key: str = "doc_id", text: str = "text", slop: int = 3) -> DataFrame:
+    """key, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with proximity matches, exact ones included) of every document."""
     tests = tests_of(benchmark, scratch, width)
     index = build(docs, tests, scratch, key, text)
-    hits = scratch.save(matches(index, tests, scratch), "matches")
-    spots = hits.select("doc", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc", "wid").distinct().join(tests.items, "wid").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = spots.join(items, "doc")
+    found = scratch.save(near(index, tests, scratch, slop).join(tests.windows.select("wid", "n").distinct(), "wid"), "found")
+    exact = found.where("off_by = 0")
+    spots = exact.select("doc", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    of_items = found.groupBy("doc", "wid").agg((F.min("off_by") == 0).alias("exact")).join(tests.items, "wid")
+    name = F.col("item_id").cast("string")
+    items = of_items.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("exact"), name))).alias("items"), F.count_distinct(name).alias("n_near"))
     none = F.array().cast("array<string>")
-    out = index.ends.join(found, "doc", "left").withColumn("items", F.coalesce("items", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
+    out = index.ends.join(items.join(spots, "doc", "left"), "doc", "left").withColumn("items", F.coalesce("items", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     out = out.select(
         "doc", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
     return index.keyed(out, key)
 

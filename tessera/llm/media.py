@@ -1,15 +1,19 @@
 """Content-addressed media: payloads in tar shards, rows with digest, shard, offset and length.
 
 Storing: each task appends the media of its rows to tar shards of its own, each content once, and emits a row per
-document.  A shard's name holds the task's attempt, and only rows of attempts that ended reach the index table, so a
-lost executor leaves an orphan file, never a wrong row.  The index then names one place for each digest.  Reading: a
-range read of the first HEAD bytes of a member fills the metadata columns; bodies are read only where asked for.
+document.  A content with a large share of all rows (`hot_keys`) is stored only by the row with its smallest key; any
+other may be stored once by each task that meets it.  A shard's name holds the task's attempt, and only rows of attempts
+that ended reach the index table, so a lost executor leaves an orphan file, never a wrong row.  The index then names one
+place for each digest.  Reading: a range read of the first HEAD bytes of a member fills the metadata columns; bodies are
+read only where asked for.
 
 The media format here is an 8-bit grey PNG, WIDTH samples a row, lossless; the unpadded size stands in a private chunk
 right behind the image header, so that header reads give it.
 
-Edge cases: null and empty texts are one row of padding; equal texts share one place and all values; an empty table
-gives an empty index.
+Edge cases: null and empty texts are one row of padding; equal texts, and so repeated rows, share one place and all
+values, and each row has its own index row, keys repeated or null included; of several places of a content the first in
+order of name is taken; a text of any length is one member; an empty table gives an empty index; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +24,16 @@ import tarfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, enter, hot_keys, join_hot
 
-__all__ = ["features", "from_png", "png_header", "read_bodies", "read_headers", "store", "to_payload", "to_png"]
+__all__ = ["Stored", "features", "from_png", "png_header", "read_bodies", "read_headers", "store", "to_payload", "to_png"]
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -36,6 +41,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEAD = len(SIGNATURE) + 25 + 20
 #: A shard is closed at the first member past this size.
 SHARD_BYTES = 256 << 20
+#: Contents whose place a task remembers; past that it begins anew, and may store one again.
+PLACES = 200_000
 INDEX = "digest string, shard string, offset long, length long"
 
 
@@ -102,11 +109,32 @@ def _qualified(spark, path: str) -> str:
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file:///") else uri
 
 
-def store(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the media; returns the index (key, digest, shard, offset, length), one place per digest."""
+@dataclass
+class Stored:
+    rows: DataFrame  # key, digest: a row per document
+    places: DataFrame  # digest, shard, offset, length: a row per content
+    hot: DataFrame  # digests of many rows
+
+    def index(self) -> DataFrame:
+        """key, digest, shard, offset, length of every document."""
+        return join_hot(self.rows, self.places, "digest", self.hot)
+
+    def with_bodies(self) -> DataFrame:
+        """key, digest and what read_bodies gives, of every document; each content is read once."""
+        return join_hot(self.rows, self.places, "digest", self.hot, read_bodies)
+
+
+def store(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> Stored:
+    """Writes the media."""
     folder = _qualified(df.sparkSession, scratch.path("tar"))
+    per = df.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest")).agg(F.count("*").alias("count"), F.min(key).alias("owner"))
+    per = scratch.save(per.where("count > 200"), "repeated")
+    hot = hot_keys(per, "digest", df.count(), scratch)
+    owners = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in per.join(F.broadcast(hot), "digest", "left_semi").select("digest", "owner").collect()})
+    scratch.drop(per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("media")
         system, base = _file_system(folder)
         out, name, at, places = None, "", 0, {}
 
@@ -116,10 +144,12 @@ def store(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "tex
 
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for k, t in zip(b.column(0), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode()
-                payload = to_payload(raw)
                 digest = hashlib.sha256(raw).hexdigest()
+                if digest in owners.value and owners.value[digest] != k.as_py():
+                    rows.append((digest, None, None, None))
+                    continue
                 if digest not in places:
                     if out is not None and at >= SHARD_BYTES:
                         end()
@@ -127,29 +157,32 @@ def store(df: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "tex
                     if out is None:
                         name, at = f"{uuid.uuid4().hex}.tar", 0
                         out = system.open_output_stream(f"{base}/{name}")
-                    media = to_png(payload, len(raw))
+                    media = to_png(to_payload(raw), len(raw))
                     info = tarfile.TarInfo(f"{digest}.png")
                     info.size = len(media)
                     out.write(info.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % 512))
+                    if len(places) >= PLACES:
+                        places.clear()
                     places[digest] = (name, at + 512, len(media))
                     at += 512 + len(media) + -len(media) % 512
                 rows.append((digest, *places[digest]))
-            columns = [pa.array(x) for x in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "digest", "shard", "offset", "length"])
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], [key, "digest", "shard", "offset", "length"])
         if out is not None:
             end()
 
-    index = scratch.save(df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {INDEX}"), "index")
-    one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
-    out = index.select(key, "digest").join(one, "digest").select(key, "digest", F.concat(F.lit(folder + "/"), "shard").alias("shard"), "offset", "length")
-    out._tessera_contents = one.select("digest", F.concat(F.lit(folder + "/"), "shard").alias("shard"), "offset", "length")
-    return out
+    rows = scratch.save(df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {INDEX}"), "index")
+    place = F.when(F.col("shard").isNotNull(), F.struct(F.concat(F.lit(folder + "/"), "shard").alias("shard"), "offset", "length"))
+    places = scratch.save(rows.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*"), "places")
+    return Stored(rows.select(key, "digest"), places, hot)
 
 
 def _read(places: DataFrame, fields: str, names: list[str], row) -> DataFrame:
     """row(read) of each place, where read(n) gives the first n bytes of a member, all without n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("media")
         system, handle, is_open = None, None, ""
         for b in batches:
             rows = []

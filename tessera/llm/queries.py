@@ -31,8 +31,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = media.store(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
-    return index.select("doc_id", "digest").join(media.read_bodies(index._tessera_contents), "digest").drop("digest")
+    return media.store(table(spark, sf_dir, "documents"), Scratch(spark, "op5")).with_bodies().drop("digest")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), texts=False)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,15 +65,24 @@ _WORDS9 = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00
 ORACLE_SQL = {
     "op9_decontamination": f"""
 WITH b AS (SELECT item_id, {_WORDS9} AS w FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 10], ' ') AS k, least(len(w), 10) AS n
-        FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, w[i + 1 : i + 10] AS k, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, {_WORDS9} AS w FROM documents),
 every AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d),
 hits AS (SELECT doc_id, i, win.n, item_id FROM every JOIN (SELECT DISTINCT n FROM win) s ON i + s.n <= len(w)
-         JOIN win ON win.n = s.n AND win.k = array_to_string(w[i + 1 : i + s.n], ' ')),
+         JOIN win ON win.n = s.n AND array_to_string(win.k, ' ') = array_to_string(w[i + 1 : i + s.n], ' ')),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+one AS (SELECT k, n, row_number() OVER () AS wid FROM (SELECT DISTINCT k, n FROM win)),
+pos AS (SELECT doc_id, i, w[i + 1] AS t FROM every WHERE w[i + 1] IN (SELECT unnest(k) FROM one)),
+term AS (SELECT wid, n, off, t, coalesce(c, 0) AS c, min(coalesce(c, 0)) OVER (PARTITION BY wid) AS least FROM (SELECT wid, n, off, k[off + 1] AS t FROM (SELECT *, unnest(range(0, n)) AS off FROM one))
+         LEFT JOIN (SELECT t, count(*) AS c FROM pos GROUP BY t) USING (t)),
+rare AS (SELECT wid, n, off, t FROM term WHERE least > 0 QUALIFY row_number() OVER (PARTITION BY wid ORDER BY c, off) = 1),
+occ AS (SELECT wid, n, rare.off AS at, doc_id, i - off AS start FROM rare JOIN pos USING (t)),
+near AS (SELECT wid, doc_id, start FROM occ WHERE n = 1 UNION ALL
+         SELECT occ.wid, occ.doc_id, start FROM occ JOIN term o ON o.wid = occ.wid AND o.off <> occ.at JOIN pos p ON p.doc_id = occ.doc_id AND p.t = o.t AND p.i BETWEEN start + o.off - 3 AND start + o.off + 3
+         GROUP BY occ.wid, occ.doc_id, start, occ.n HAVING count(DISTINCT o.off) = occ.n - 1),
+about AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN one USING (wid) JOIN win USING (k, n) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN about USING (doc_id)""",
 }

@@ -10,10 +10,13 @@ members of those large groups, then others.
 Law `rows`: the numbers of rows of two shards differ by one at most.
 
 Only sums per shard reach the driver.  Ranks within a shard come from ranks within small hashed cells and the cells'
-sums, so no task sorts a whole shard.
+sums, so no task sorts a whole shard.  Hubs of many members are joined by broadcast (`join_hot`), so no task gets all
+members of one.
 
 Edge cases: null texts are linked with nothing, have size 8 and checksum 0; empty texts are equal texts; repeated rows
-are placed each for itself; an empty table gives no rows; fewer rows than shards leave shards empty.
+and rows without a key are placed each for itself; ties go by hash, and among rows of equal keys and texts it makes no
+difference; texts of any length count by their whole size; an empty table gives no rows; fewer rows than shards leave
+shards empty; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, hot_keys, join_hot
 
 __all__ = ["cut_links", "place"]
 
@@ -64,9 +67,11 @@ def place(df: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUND
         ),
         "nodes",
     )
-    hubs = nodes.where("hub is not null").groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
-    marked = scratch.save(nodes.join(hubs, "hub", "left").select(key, "size", "text_crc32", F.when(F.col("members") > 1, F.col("hub")).alias("hub"), "members", "shard"), "marked")
-    total = marked.count()
+    total = nodes.count()
+    hubs = scratch.save(nodes.where("hub is not null").groupBy("hub").agg(F.count("*").alias("members")).where("members > 1"), "hubs")
+    hot = hot_keys(hubs.withColumnRenamed("members", "count"), "hub", total, scratch)
+    marked = scratch.save(join_hot(nodes, hubs, "hub", hot).select(key, "size", "text_crc32", F.when(F.col("members") > 1, F.col("hub")).alias("hub"), "members", "shard"), "marked")
+    scratch.drop(nodes)
     free_rows = marked.where("hub is null")
     lone = _sums(free_rows, "shard", shards)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
@@ -91,7 +96,7 @@ def place(df: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUND
         to = F.coalesce("wanted", F.lit(0))
         by_member, by_hub = (F.pmod(F.xxhash64(x, F.lit(r)), F.lit(1 << 20)) for x in (F.col(key), F.col("hub")))
         drawn = F.when(large, by_member < _pick(to, rest)).otherwise(by_hub < _pick(to, grant))
-        moved = linked.join(wish.select("hub", "wanted"), "hub", "left")
+        moved = join_hot(linked, wish.select("hub", "wanted"), "hub", hot)
         takes = F.col("wanted").isNotNull() & drawn
         linked = scratch.save(moved.select(key, "size", "text_crc32", "hub", "members", F.when(takes, F.col("wanted")).otherwise(F.col("shard")).alias("shard")), f"round{r}")
     here = _sums(linked, "shard", shards)
@@ -108,7 +113,7 @@ def place(df: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = ROUND
     for s in range(1, shards):  # the shard whose range of lacking rows holds the index
         to = F.when(index >= sum(lack[:s]), F.lit(s)).otherwise(to) if lack[s] else to
     final = F.when(F.col("rank") < _pick(F.col("shard"), surplus), to).otherwise(F.col("shard"))
-    settled = scratch.save(ranked.select(key, "size", "text_crc32", "hub", final.cast("int").alias("shard")), "settled")
+    settled = scratch.keep_only(scratch.save(ranked.select(key, "size", "text_crc32", "hub", final.cast("int").alias("shard")), "settled"))
     slotted = _ranked(settled, cells, "shard", F.lit(0), order, "slot")
     return slotted.select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("hub").alias("link_group"))
 

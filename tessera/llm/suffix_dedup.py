@@ -22,9 +22,13 @@ Between steps are written tables.  A gram or a passage that a third of the rows
 distinct stretch, and no part has to hold the windows of a gram that many texts share.
 
 Edge cases: null and empty texts and texts under SPAN bytes lose nothing; null keys come before all others and rows
-with equal keys are taken in the order of their text, and each gets its own result (a table with such rows is sorted and
-written once, with a number per row that stands for the key in all steps); very long texts are processed whole, in
-slices that overlap.
+with equal keys are taken in the order of their text, and each gets its own result (a table with such rows, or with keys
+that are no whole numbers, is sorted and written once, with a number per row that stands for the key in all steps); very
+long texts are processed whole, in slices that overlap; an empty table gives no rows; other columns are left out,
+whatever their names.
+
+Hashes: polynomials modulo 2 ** 64, which long strings can be written to defeat, are used for grams, stretches and sides
+of at most a few hundred bytes, far under the length that takes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, enter, numbered
 
 __all__ = ["anchors", "deep_shallow", "dedup", "equal_runs", "merge"]
 
@@ -275,6 +279,7 @@ def _covered(lines: np.ndarray) -> np.ndarray:
 
 def _route_anchors(pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix_dedup")
         held, size = [], 0
 
         def close():
@@ -441,58 +446,55 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, spans in zip(b.column(1), b.column(2), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            s = spans.as_py() or []
-            start, end = merge(np.array([x["first"] for x in s], np.int64), np.array([x["last"] for x in s], np.int64))
-            kept, at = [], 0
-            for a, z in zip(start.tolist(), end.tolist(), strict=True):
-                kept.append(raw[at:a])
-                at = z
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept))
-        n, removed, spans, digest, kept = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
-            ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
-
-
-def _numbered(rows: DataFrame, scratch: Scratch, pieces: int) -> DataFrame:
-    """doc, key, text: doc is a row's own number, in the order of keys.  Distinct keys are such numbers themselves."""
-    if rows.groupBy("key").count().where("key IS NULL OR count > 1").isEmpty():
-        return rows.select(F.col("key").alias("doc"), "key", "text")
-    # Full ties are dealt to several parts by their place in the input.
-    order = ("key", "text", "tie")
-    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(pieces, *order).sortWithinPartitions(*order)
-    # Increasing over the sorted parts; written, as another run could number the rows in another way.
-    return scratch.save(dealt.select(F.monotonically_increasing_id().alias("doc"), "key", "text"), "numbered")
-
-
-def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row; keys are whole numbers."""
+def _cut(key: str, texts: bool):
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix_dedup")
+        for b in batches:
+            n, removed, spans, digest, left = [], [], [], [], []
+            for text, asked in zip(b.column(1), b.column(2), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                s = asked.as_py() or []
+                start, end = merge(np.array([x["first"] for x in s], np.int64), np.array([x["last"] for x in s], np.int64))
+                kept, at = [], 0
+                for a, z in zip(start.tolist(), end.tolist(), strict=True):
+                    kept.append(raw[at:a])
+                    at = z
+                kept = b"".join([*kept, raw[at:]]) if kept else raw
+                n.append(len(raw))
+                removed.append(len(raw) - len(kept))
+                spans.append(len(start))
+                digest.append(hashlib.sha256(kept).hexdigest())
+                if texts:
+                    left.append(kept)
+            columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *([pa.array(left, pa.binary())] if texts else [])], names)
+
+    return run
+
+
+def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with `texts` kept (binary), what is left."""
     spark = docs.sparkSession
     pieces = PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _numbered(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), scratch, pieces)
-    texts = keyed.select("doc", "text")
+    keyed = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), scratch, pieces)
+    rows = keyed.select("doc", "text")
 
     def first() -> DataFrame:
-        routed = texts.mapInArrow(_route_anchors(pieces), "piece int, kind tinyint, payload binary")
+        routed = rows.mapInArrow(_route_anchors(pieces), "piece int, kind tinyint, payload binary")
         return routed.repartition("piece").sortWithinPartitions("piece").mapInArrow(_meet, _FOUND)
 
     def second() -> DataFrame:
         asked = met.where("kind <> 1").groupBy("doc").agg(F.collect_list(F.struct("kind", "first", "last", "place", "gram")).alias("asked"))
-        rows = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_suffixes(pieces), "piece int, doc long, start int, suffix binary")
+        found = rows.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_suffixes(pieces), "piece int, doc long, start int, suffix binary")
         # Settled rows (piece -1) travel by their document.
-        dealt = rows.withColumn("to", F.when(F.col("piece") < 0, F.col("doc")).otherwise(F.col("piece").cast("long")))
+        dealt = found.withColumn("to", F.when(F.col("piece") < 0, F.col("doc")).otherwise(F.col("piece").cast("long")))
         return dealt.repartition("to").sortWithinPartitions("piece").select("piece", "doc", "start", "suffix").mapInArrow(_order, _FOUND)
 
     met = scratch.save(first(), "met")
     late = scratch.save(second(), "late")
     gone = met.where("kind = 1").union(late).select("doc", "first", "last")
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    out = keyed.join(spans, "doc", "left").select("key", "text", "spans").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("doc", key)
+    fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    return keyed.join(spans, "doc", "left").select("key", "text", "spans").mapInArrow(_cut(key, texts), fields)

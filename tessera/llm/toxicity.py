@@ -13,8 +13,11 @@ Score: logistic regression on log counts of FEATURES restored words and word beg
 labelled rows (those first by a hash of the key).  Only the sample's keys, the selected features and the sparse sample
 matrix reach the driver; all are bounded by these parameters.
 
-Edge cases: null and empty texts get the score of a text without features; equal texts get equal scores; several labels
-of a document count as toxic if one is; without labels, or with labels of one kind only, all get that kind's share.
+Edge cases: null and empty texts get the score of a text without features; equal texts, and so repeated rows, get equal
+scores; several labels of a document count as toxic if one is; without labels, or with labels of one kind only, all get
+that kind's share; of equally likely readings of a token the last in order is taken; texts of any length are read whole,
+in time linear in it; an empty table gives no rows; other columns pass through, and one that has the output's name is
+refused.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Cache
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, enter, new_column
 
 __all__ = ["CharModel", "Scorer", "count_characters", "fit", "is_held_out", "predict", "restore"]
 
@@ -76,6 +79,7 @@ def count_characters(df: DataFrame, text: str = "text") -> np.ndarray:
     """Trigram counts over all texts, [ALPHABET] * 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         total, held, size = np.zeros(ALPHABET**3, np.int64), [], 0
 
         def add(texts: list[str]) -> None:
@@ -272,6 +276,7 @@ def fit(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id",
     pos, neg = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         cache = Cache(lambda t: tuple(f for w in restore(t, model) for f in names(w)))
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -285,6 +290,7 @@ def fit(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id",
     scorer.index = {r[0]: i for i, r in enumerate(chosen.collect())}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for b in batches:
             found = [sorted(v.items()) for v in scorer.vectors(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -305,6 +311,7 @@ def predict(df: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
     held = df.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         known = None
         for b in batches:
             if known is None:
@@ -312,5 +319,4 @@ def predict(df: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
             scores = list(known.scores(b.column(b.schema.get_field_index(text)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
 
-    kept = df.drop(out)
-    return kept.mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)
+    return new_column(df, out).mapInArrow(run, df.withColumn(out, F.lit(0.0)).schema)

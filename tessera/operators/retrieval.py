@@ -120,8 +120,12 @@ def coarse(queries: DataFrame, targets: DataFrame, k: int, direct: int = DIRECT)
 
 def shortlist(s1: DataFrame, targets: DataFrame, k: int = 300, max_df: float = 0.02) -> DataFrame:
     """(s1_id, target_id, score, rank) by words and pairs of words.  Inputs have (country, id, x)."""
-    vocabulary, weights = weigh(targets, word_terms(F.col("x")), max_df=max_df)
-    return coarse(weigh_queries(s1, word_terms(F.col("x")), vocabulary), weights, k)
+    terms = word_terms(F.col("x"))
+    vocabulary, weights = weigh(targets, terms, max_df=max_df)
+    asked = weigh_queries(s1, terms, vocabulary)
+    # No term is in more targets than max_df allows (in a small corpus, in all of it).
+    most = (s1.agg(F.sum(F.size(terms))).first()[0] or 0) * max(max_df * targets.count(), 2 / max_df)
+    return top(cosine(asked, weights), k) if most <= DIRECT else coarse(asked, weights, k)
 
 
 def by_characters(s1: DataFrame, targets: DataFrame, short: DataFrame | None, max_df: float = 0.25, max_features: int | None = 150_000) -> DataFrame:

@@ -140,7 +140,9 @@ def near(index: Index, tests: Tests, scratch: Scratch, slop: int = 3) -> DataFra
     rest = small(rarest.where("place > 2").select("wid", "off", "tid"), 20)
     around = F.explode(F.sequence(F.col("start") + F.col("off") - slop, F.col("start") + F.col("off") + slop))
     asked = both.where("n > 2").join(rest, "wid").select("wid", "doc", "start", "off", "tid", around.alias("pos"))
-    each = asked.join(index.postings, ["doc", "pos", "tid"]).groupBy("wid", "doc", "start", "off").agg(F.min(F.abs(F.col("pos") - F.col("start") - F.col("off"))).alias("by"))
+    held = scratch.save(both.where("n > 2").select("doc").distinct(), "near-held")
+    there = index.postings.join(small(held, 8), "doc", "left_semi")
+    each = asked.join(there, ["doc", "pos", "tid"]).groupBy("wid", "doc", "start", "off").agg(F.min(F.abs(F.col("pos") - F.col("start") - F.col("off"))).alias("by"))
     got = each.groupBy("wid", "doc", "start").agg(F.max("by").alias("by"), F.count("*").alias("held"))
     whole = both.join(got, ["wid", "doc", "start"], "left").where("n <= 2 OR held = n - 2")
     return whole.select("doc", "wid", "start", F.greatest("off_by", F.coalesce("by", F.lit(0))).alias("off_by"))

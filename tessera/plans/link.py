@@ -111,7 +111,7 @@ def sample(spark: SparkSession, s1: str, s2: str, s3: str, truth: str, folder: s
     wanted = true.select(F.col("target_id").alias("entity_id")).distinct()
     pools = [scratch.save(sampling.with_distractors(linkage.read_records(spark, at), wanted, distractors, seed=seed), "pool") for at in (s2, s3)]
     sources = Sources(scratch.save(T.preprocess(drawn), "prepared"), scratch.save(T.preprocess(linkage.union_targets(*pools)), "targets"))
-    scored = scratch.save(retrieval.by_characters(*sources.terms(), retrieval.shortlist(*sources.terms())), "scored")
+    scored = scratch.save(retrieval.rescored(*sources.terms()), "scored")
     mined = retrieval.hard_negatives(scored, true, ids).join(scored, ["s1_id", "target_id"])
     hit = scored.join(true, ["s1_id", "target_id"], "left_semi").where("score >= 0.10")
     pairs = scratch.save(retrieval.top(mined.select("s1_id", "target_id", "score").unionByName(hit.select("s1_id", "target_id", "score")), 20), "pairs")

@@ -130,6 +130,79 @@ def test_pruned_retrieval_equals_all_pairs(spark, k):
     assert all(abs(a[3] - b[3]) <= 2e-5 and abs(every[b[0], b[2]] - b[3]) <= 2e-5 for a, b in zip(plain, pruned, strict=True))
 
 
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_search_by_blocks_equals_all_pairs(spark, monkeypatch, k):
+    """On odd records: repeated ids, null and empty texts, long words, countries that only one side has; in pieces of a few rows."""
+    import random
+
+    import numpy as np
+
+    from tessera.operators import nearest as N
+
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)] + ["x", "é", "ñandú", "q" * 70, "straße"]
+    text = lambda: " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(len(words))], k=rng.randint(1, 9)))
+    rows = [("us" if i % 3 else "fr", f"t{i % 140:03d}", text()) for i in range(150)] + [("us", "t900", None), ("us", "t901", ""), ("fr", "t902", "  "), ("de", "t903", "w1 w2"), (None, "t904", "w1")]
+    asked = [("us" if i % 3 else "fr", f"q{i % 44}" if i % 3 else f"f{i}", text()) for i in range(50)] + [("us", "q900", None), ("us", "q901", " x "), ("es", "q902", "w1 w2")]
+    t, q = (spark.createDataFrame(x, "country string, id string, x string") for x in (rows, asked))
+    terms = {"words": retrieval.word_terms, "chars": retrieval.char_terms}
+    got = lambda df: {(r.s1_id, r["rank"]): (r.target_id, r.score) for r in df.collect()}
+    for kind, of in terms.items():
+        x = of(F.col("x"))
+        vocabulary, weights = retrieval.weigh(t, x, max_df=0.5)
+        known = {tuple(r)[:2]: r.idf for r in vocabulary.collect()}
+        assert {tuple(r)[:2]: r.idf for r in retrieval.vocabulary(t, of, max_df=0.5).collect()} == pytest.approx(known)
+        every = {(r.s1_id, r.target_id): r.score for r in retrieval.cosine(retrieval.weigh_queries(q, x, vocabulary), weights).collect()}
+        plain = got(retrieval.top(retrieval.cosine(retrieval.weigh_queries(q, x, vocabulary), weights), k))
+        found = got(N.nearest(q, t, [N.Stage(kind, vocabulary)], k))
+        assert plain.keys() == found.keys() and len(plain) > 20
+        assert all(abs(plain[p][1] - found[p][1]) <= 2e-6 and abs(every[p[0], found[p][0]] - found[p][1]) <= 2e-6 for p in plain)
+    # The same in small pieces and steps, on one block.
+    monkeypatch.setattr(N, "PIECE", 7)
+    monkeypatch.setattr(N, "STEP", 40)
+    block = {"part": [], "s1_id": [], "target_id": [], "x": [], "term": [], "idf": []}
+    put = lambda *row: [block[n].append(v) for n, v in zip(block, row, strict=True)]
+    for part, of in enumerate(terms.values()):
+        for r in retrieval.vocabulary(t, of, max_df=0.5).where("country = 'us'").collect():
+            put(part, None, None, None, r.term, r.idf)
+    for part, df in ((-2, q), (-1, t)):
+        for r in N.merge(df).where("country = 'us'").collect():
+            put(part, *((r.id, None) if part == -2 else (None, r.id)), r.x, None, None)
+    table = N.pa.table({n: N.pa.array(v, N.pa.list_(N.pa.string()) if n == "x" else None) for n, v in block.items()})
+    small = [(a.as_py(), b.as_py(), s, int(r)) for x, y, u, v in N._block(table, list(terms), k, None, None) for a, b, s, r in zip(x, y, u, v, strict=True)]
+    whole = retrieval.rescored(q.where("country = 'us'"), t, k, 0.5, 0.5).collect()
+    assert sorted((r.s1_id, r.target_id, r.score, r["rank"]) for r in whole) == sorted(small) and np.isfinite([r[2] for r in small]).all()
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that the stages of one run write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(x.shuffleWriteBytes() for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+    before = written()
+    df().write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return written() - before
+
+
+def test_search_shuffles_texts_not_pairs(spark):
+    """600 records a side with 300 candidates each: their pairs of postings are many times the texts."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"{a}{b}ston" for a in "bcdfghklmn" for b in "aeiou"]
+    make = lambda p: spark.createDataFrame([("us", f"{p}{i}", " ".join(rng.choices(words, k=12))) for i in range(600)], "country string, id string, x string")
+    q, t = make("q"), make("t")
+    assert 0 < shuffled(spark, lambda: retrieval.candidates(q, t, word_max_df=1.0, char_max_df=1.0)) < 4e6
+
+
+def test_id_of_two_countries(spark):
+    """Its candidates come from both, as one list."""
+    q = spark.createDataFrame([("us", "S1-1", "alpha beta"), ("fr", "S1-1", "gamma delta"), ("fr", "S1-2", "gamma")], "country string, id string, x string")
+    t = spark.createDataFrame([("us", "S2-1", "alpha beta"), ("fr", "S2-2", "gamma"), ("fr", "S2-3", "gamma omega")], "country string, id string, x string")
+    found = retrieval.candidates(q, t, word_max_df=1.0, char_max_df=1.0).collect()
+    assert sorted((r.s1_id, r.target_id, r["rank"]) for r in found) == [("S1-1", "S2-1", 1), ("S1-1", "S2-2", 2), ("S1-1", "S2-3", 3), ("S1-2", "S2-2", 1), ("S1-2", "S2-3", 2)]
+
+
 def test_two_stages_against_exact(spark):
     q = spark.createDataFrame([("us", "S1-1", "alpha beta gamma"), ("us", "S1-2", "zzz")], "country string, id string, x string")
     t = spark.createDataFrame([("us", "S2-1", "alpha beta gamma"), ("us", "S2-2", "alphas betas"), ("us", "S2-3", "gamma beta")], "country string, id string, x string")
